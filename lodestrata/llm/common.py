@@ -255,19 +255,19 @@ def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
 
 
 class Memo:
-    """Integer rows by 64-bit hash, kept over a task's steps; forgets all when full."""
+    """Rows by 64-bit hash, kept over a worker's steps; forgets all when full."""
 
-    def __init__(self, width: int, most: int = 1_000_000):
-        self.most, self.width = most, width
+    def __init__(self, width: int, most: int = 800_000, dtype=np.int64):
+        self.most, self.width, self.dtype = most, width, dtype
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.rows = np.zeros((0, self.width), np.int64)
+        self.rows = np.zeros((0, self.width), self.dtype)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are known, and rows for all keys (zeros for unknown ones)."""
-        out = np.zeros((len(keys), self.width), np.int64)
+        out = np.zeros((len(keys), self.width), self.dtype)
         if not len(self.keys):
             return np.zeros(len(keys), bool), out
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -276,9 +276,9 @@ class Memo:
         return known, out
 
     def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
-        keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, rows])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], rows[order]
+        """Sorted new keys with their rows."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows, axis=0)
 
     @property
     def full(self) -> bool:
