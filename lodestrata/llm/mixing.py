@@ -8,7 +8,8 @@ Which documents enter once more is drawn by balanced sampling: the flight phase
 space of the two constraints (documents, words), so both totals stay exactly where the probabilities put them, until no more than two
 units of a block are fractional. Blocks of about BLOCK units are cut from each source by a hash, so a source with a third of all
 rows spreads over many tasks; what the blocks leave over is regrouped and flown again, each time a thousandth of the units, until
-one block per source is left. There the landing problem (two units) is solved by dropping the document constraint, then by chance.
+one block per source is left. There the landing problem (two units) is solved by dropping the document constraint, then by
+chance, and one to three exchanges between units of that last block bring the word total back to its expectation.
 
 Rows that agree in (doc_id, source, size) are one unit with c copies, whose c * r expected entries are split the same way. Blocks,
 order and random numbers depend on these values alone, so reruns agree.
@@ -23,6 +24,7 @@ import math
 import random
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,14 +128,43 @@ def landing(pi: list[float], size: list[float], rng: random.Random) -> list[floa
         _move(pi, pair, [b, -a] if a and b else [0.0, 1.0] if a else [1.0, 0.0], rng)
 
 
+def repair(taken: list[float], pi: list[float], size: list[float], rounds: int = 3) -> list[float]:
+    """Undo the landing's error in words: add, drop or exchange the units that bring the total closest to its expectation."""
+    x, s = np.array(taken), np.array(size)
+    error = float(((x - np.array(pi)) * s).sum())
+    for _ in range(rounds):
+        out = np.flatnonzero(x == 0)
+        out = out[np.argsort(s[out], kind="stable")]
+        used = np.flatnonzero(x == 1)
+        # Nothing (-1) may stand on either side of an exchange.
+        sizes_out = np.concatenate([[0.0], s[out]])
+        names_out = np.concatenate([[-1], out])
+        sizes_in, names_in = np.concatenate([[0.0], s[used]]), np.concatenate([[-1], used])
+        at = np.searchsorted(sizes_out, sizes_in - error)
+        best = (abs(error), -1, -1)
+        for near in (np.maximum(at - 1, 0), np.minimum(at, len(sizes_out) - 1)):
+            left = np.abs(error + sizes_out[near] - sizes_in)
+            k = int(left.argmin())
+            if left[k] < best[0] - 1e-6:
+                best = (float(left[k]), int(names_in[k]), int(names_out[near[k]]))
+        if best[1] < 0 and best[2] < 0:
+            break
+        error += (s[best[2]] if best[2] >= 0 else 0.0) - (s[best[1]] if best[1] >= 0 else 0.0)
+        if best[1] >= 0:
+            x[best[1]] = 0.0
+        if best[2] >= 0:
+            x[best[2]] = 1.0
+    return x.tolist()
+
+
 def _fly(group: pa.Table, last: bool) -> pa.Table:
-    # Long documents fly first: what stays open for the landing is then short, and the word total hardly moves.
     group = group.sort_by([("size", "descending"), ("h", "ascending")])
     rng = random.Random(f"{group.column('block')[0]}/{group.column('h')[0]}/{len(group)}")
     size = [float(x) for x in group.column("size").to_pylist()]
-    pi = flight(group.column("pi").to_pylist(), size, rng)
+    before = group.column("pi").to_pylist()
+    pi = flight(before, size, rng)
     if last:
-        pi = landing(pi, size, rng)
+        pi = repair(landing(pi, size, rng), before, size)
     return group.set_column(group.column_names.index("pi"), "pi", pa.array(pi, pa.float64()))
 
 
