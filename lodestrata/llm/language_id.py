@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,7 +283,19 @@ def fit(docs: DataFrame, train_rows: int = 1500, key: str = "doc_id") -> Model |
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
-def identify(docs: DataFrame, model: Model | None, min_ascii: bool = True) -> DataFrame:
+def predict(tagger: Tagger, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label and score of each row of a UTF-8 buffer."""
+    share = tagger.documents(buf, offs)
+    # Non-ASCII bytes need not be letters: texts without an ASCII letter are looked at one by one.
+    ascii_letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
+    some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[offs]) > 0
+    for r in np.flatnonzero(~some & (offs[1:] > offs[:-1])):
+        some[r] = any(c.isalpha() for c in buf[offs[r] : offs[r + 1]].tobytes().decode())
+    names = np.array(tagger.model.labels, object)
+    return np.where(some, names[share.argmax(1)], UNDETERMINED), np.where(some, share.max(1), 0.0)
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for each row from its text alone."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", docs["text"].cast("string").alias("text"))
@@ -292,23 +305,37 @@ def identify(docs: DataFrame, model: Model | None, min_ascii: bool = True) -> Da
 
     def kernel(batch: pa.RecordBatch, tagger: Tagger):
         buf, offs = utf8(batch.column(1))
-        names = np.array(tagger.model.labels, object)
         for i, j in steps(offs):
-            part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            share = tagger.documents(part, at)
-            best = share.argmax(1)
-            # Non-ASCII bytes need not be letters: texts without an ASCII letter are looked at one by one.
-            ascii_letter = ((part | 32) >= 97) & ((part | 32) <= 122)
-            some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[at]) > 0
-            for r in np.flatnonzero(~some & (at[1:] > at[:-1])):
-                some[r] = any(c.isalpha() for c in part[at[r] : at[r + 1]].tobytes().decode())
-            pred = np.where(some, names[best], UNDETERMINED)
-            score = np.where(some, share.max(1), 0.0)
+            pred, score = predict(tagger, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(pred.tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return map_batches(source, kernel, f"doc_id {kind}, lang_pred string, score double", lambda: Tagger(shared.value))
 
 
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, by a score of at least ``least``; a null ``lang`` is filled in. All columns
+    stay. Without a model nothing can be told and nothing goes but texts that are null or have no letter."""
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        tagger = Tagger(shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buf, offs = utf8(batch.column(text))
+            found = [predict(tagger, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in steps(offs)]
+            pred, score = (np.concatenate(x) for x in zip(*found))
+            kept = pa.array((pred != UNDETERMINED) & (score >= least))
+            columns = batch.columns
+            columns[lang] = pc.coalesce(columns[lang], pa.array(pred.tolist(), columns[lang].type))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(crc_mod("doc_id", 3) != 1))

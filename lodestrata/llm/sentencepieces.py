@@ -246,8 +246,9 @@ def codec_of(model: str) -> Codec:
     return Codec(model)
 
 
-def encode(docs: DataFrame, model: str, spans: bool = True, decoded: bool = True) -> DataFrame:
-    """(doc_id, ids[, begins, ends][, decoded]) of each row: token ids, each piece's span of source bytes, and the ids decoded."""
+def encode(docs: DataFrame, model: str, spans: bool = True, decoded: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids[, begins, ends][, decoded]) of each row: token ids, each piece's span of source bytes, and the ids decoded;
+    ``carry`` names columns to take along."""
 
     def kernel(batch: pa.RecordBatch, codec: Codec):
         buf, offs = utf8(batch.column(1))
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, model: str, spans: bool = True, decoded: bool = True
             bounds = pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32())
             out = {"doc_id": batch.column(0).slice(i, j - i), "ids": pa.ListArray.from_arrays(bounds, pa.array(ids))}
             if spans:
-                begins, ends = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                begins, ends = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
                 where = bounds.to_numpy()
                 for r in range(j - i):
                     a, b = where[r], where[r + 1]
@@ -266,11 +267,12 @@ def encode(docs: DataFrame, model: str, spans: bool = True, decoded: bool = True
                 out["ends"] = pa.ListArray.from_arrays(bounds, pa.array(ends))
             if decoded:
                 out["decoded"] = batch.column(1).slice(i, j - i).fill_null("") if all(x is None for x in back) else pa.array([part[at[r] : at[r + 1]].tobytes().decode() if x is None else x.decode() for r, x in enumerate(back)], pa.string())
+            out |= {f: batch.column(2 + k).slice(i, j - i) for k, f in enumerate(carry)}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>" + ", begins array<long>, ends array<long>" * spans + ", decoded string" * decoded
-    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), kernel, schema, lambda: codec_of(model))
+    schema = f"doc_id {kind}, ids array<int>" + ", begins array<int>, ends array<int>" * spans + ", decoded string" * decoded + "".join(f", `{f}` {docs.schema[f].dataType.simpleString()}" for f in carry)
+    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text"), *[docs[f].alias(f"__{f}") for f in carry]), kernel, schema, lambda: codec_of(model))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

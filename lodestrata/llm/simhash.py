@@ -242,5 +242,33 @@ def _expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return ragged(first, end - first)
 
 
+def drop_near_duplicates(docs: DataFrame, distance: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row of each component of ``docs``, the one of smallest doc_id; all columns stay.
+
+    The ids to drop are broadcast only while they are at most ``broadcast_rows``; beyond, the same anti-join shuffles. Rows that share
+    an id, or have none, are told apart by their text: exact repeats go.
+    """
+    marked = save(near_duplicates(docs.select("doc_id", "text"), distance).select("doc_id", "component_id", "kept"), "near-duplicates")
+    gone = marked.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    side = F.broadcast(gone) if marked.filter("not kept").count() <= broadcast_rows else gone
+    left = docs.join(side, docs["doc_id"] == F.col("__gone"), "left_anti")
+    stay = marked.filter("kept")
+    repeated = save(stay.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return left
+    again = repeated.select(F.col("doc_id").alias("__again"))
+    again = F.broadcast(again) if n <= broadcast_rows else again
+    same = left["doc_id"].eqNullSafe(F.col("__again"))
+    null_ids_gone = marked.filter("doc_id is null and component_id is not null").limit(1).count()
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    if null_ids_gone:  # copies without an id of documents that have one
+        prints = simhash(once.select("text", F.col("text").alias("doc_id")).filter("true"), 3).dropDuplicates(["doc_id"])
+        known = simhash(left.filter("doc_id is not null").select("doc_id", "text")).select("fp").distinct()
+        copies = prints.join(known, "fp", "left_semi").select(F.col("doc_id").alias("__copy"))
+        once = once.join(copies, once["doc_id"].isNull() & once["text"].eqNullSafe(F.col("__copy")), "left_anti")
+    return left.join(again, same, "left_anti").unionByName(once)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
