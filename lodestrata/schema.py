@@ -15,14 +15,42 @@ from .errors import BindError
 PRIMARY, DICTIONARY, ORDERED, NONE = "primary", "dictionary", "ordered", "none"
 DEFAULT, COMPRESSED, FLAT = "default", "compressed", "flat"
 
-_SHORT = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.DoubleType(), "double": T.DoubleType(), "bool": T.BooleanType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "decimal": T.DecimalType(28, 10)}
+_SHORT = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.DoubleType(), "double": T.DoubleType(), "bool": T.BooleanType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "decimal": T.DecimalType(28, 10)}
 
 
 def as_type(kind: str | T.DataType) -> T.DataType:
     """A Spark type from itself, a short name, or DDL such as ``array<string>``."""
     if isinstance(kind, T.DataType):
         return kind
-    return _SHORT.get(kind.lower()) or T._parse_datatype_string(kind) if hasattr(T, "_parse_datatype_string") else _SHORT.get(kind.lower()) or T.DataType.fromDDL(kind)
+    return _SHORT.get(kind.lower()) or _parsed(kind.strip())
+
+
+def _parsed(ddl: str) -> T.DataType:
+    """``array<...>``, ``struct<name:type,...>``, ``map<...>`` and ``decimal(p,s)``, without needing a session."""
+    low = ddl.lower()
+    if low in _SHORT:
+        return _SHORT[low]
+    if low.startswith("decimal("):
+        precision, scale = low[8:-1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    if low.startswith("array<"):
+        return T.ArrayType(_parsed(ddl[6:-1]))
+    if low.startswith("map<"):
+        return T.MapType(*map(_parsed, _parts(ddl[4:-1])))
+    if low.startswith("struct<"):
+        return T.StructType([T.StructField(n.strip(), _parsed(t.strip())) for n, t in (p.split(":", 1) for p in _parts(ddl[7:-1]))])
+    raise BindError(f"unknown type {ddl}")
+
+
+def _parts(text: str) -> list[str]:
+    out, depth = [""], 0
+    for c in text:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
 
 
 @dataclass(frozen=True)
