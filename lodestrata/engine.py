@@ -38,7 +38,8 @@ _ACTIVITY_SCHEMA = CollectionSchema(ACTIVITY, (Field("id", T.StringType(), "prim
 class Engine:
     """Collections below ``root``, or in memory only views of DataFrames when there is none."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, retries: int = 8):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, retries: int = 8, tokens_to_ignore: Iterable[str] = ()):
+        self.tokens_to_ignore = frozenset(tokens_to_ignore)
         self.spark, self.buckets, self.retries = spark, buckets, retries
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -332,7 +333,7 @@ class Collection:
 
     def _ranked(self, query: Q.Query) -> DataFrame:
         """Documents by relevance; a structured condition filters them before the bound is applied, an order by is dropped."""
-        ranked = self.index().search(query.full_text).withColumnRenamed("key", "__key")
+        ranked = self.index().search(query.full_text, stop=self.engine.tokens_to_ignore).withColumnRenamed("key", "__key")
         rows = C.filtered(self.frame(), query, self.schema)
         found = rows.join(ranked, F.col(f"`{self.schema.key}`") == F.col("__key"))
         if query.distinct:
@@ -345,6 +346,22 @@ class Collection:
     def explain(self, query: Q.Query) -> str:
         return C.run(replace(query, explain=False), self.frame(), self.schema)._jdf.queryExecution().toString()
 
+    def profile(self, query: Q.Query) -> dict:
+        """Run the query to its last row and say how long each part took (seconds), with the final plan; also put in the log."""
+        began = time.perf_counter()
+        out = self._ranked(query) if query.full_text else C.run(query, self.frame(), self.schema)
+        built = time.perf_counter()
+        execution = out._jdf.queryExecution()
+        execution.executedPlan()
+        planned = time.perf_counter()
+        rows = _drain(out)
+        done = time.perf_counter()
+        phases = {"building": built - began, "planning": planned - built, "execution": done - planned}
+        plan = execution.toString()
+        shown = ", ".join(f"{k} {v:.3f} s" for k, v in phases.items()) + f", {rows} rows"
+        self.engine.log("profile", self.name, query.describe(), query.shape, done - began, shown)
+        return phases | {"rows": rows, "plan": plan}
+
     def pivot(self, axes: Iterable[str], values: Iterable[str], condition: Condition | None = None, scale: int = 10) -> DataFrame:
         rows = self.frame() if condition is None else C.filtered(self.frame(), self.where(condition).query, self.schema)
         return pivot.pivot(rows, self.schema, axes, values, scale)
@@ -507,6 +524,18 @@ class Collection:
         return target
 
 
+def _drain(df: DataFrame) -> int:
+    """Compute all rows, keep none; returns their number."""
+    return df.mapInArrow(_lengths, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _lengths(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+
 def _equals(schema: CollectionSchema, key) -> Condition:
     from .plans.builder import field
 

@@ -137,8 +137,11 @@ class Index:
         spark = self.posted.sparkSession
         return spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()
 
-    def search(self, text: str, take: int = 0, stop: Iterable[str] = (), entries: int | None = None) -> DataFrame:
-        """(key, score, tokens) of the documents found, best first, ties by key."""
+    def search(self, text: str, take: int = 0, stop: Iterable[str] = (), entries: int | None = None, ignore_above: int = STOP_AFTER) -> DataFrame:
+        """(key, score, tokens) of the documents found, best first, ties by key.
+
+        Tokens of ``stop``, and those in more than ``ignore_above`` lines, count for nothing.
+        """
         split = X.split_text(text)
         query = [X.normalize_text(t, self.squeeze) for t in split]
         stop = set(stop)
@@ -154,7 +157,9 @@ class Index:
         df = {r[0]: r[1] for r in frequencies(hits.filter(F.col("token").isin(wanted))).collect()}
         if not df or not total:
             return nothing
-        known = [t for t in wanted if t in df]
+        known = [t for t in wanted if 0 < df.get(t, 0) <= ignore_above]
+        if not known:
+            return nothing
         weight = F.create_map(*[x for t in known for x in (F.lit(t), F.log10(F.lit(float(total)) / F.lit(float(df[t]))))])
         scored = F.col("token").isin(known)
         per_line = hits.groupBy("key", "line").agg(

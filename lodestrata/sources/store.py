@@ -76,7 +76,10 @@ class Store:
         """Bucket -> directory of the rows written."""
         path = f"{self.root}/data/{schema.name.lower()}-{uuid.uuid4().hex}"
         order = [f.name for f in schema.fields if f.index == ORDERED] or [schema.key]
-        placed = df.withColumn("__bucket", self.bucket(schema, count)).repartition(count, "__bucket")
+        # Several tasks share a bucket where the session asks for more partitions than there are buckets.
+        spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // count)
+        deal = F.pmod(F.xxhash64(F.col(f"`{schema.key}`"), F.lit(1)), F.lit(spread))
+        placed = df.withColumn("__bucket", self.bucket(schema, count)).repartition("__bucket", deal)
         placed.sortWithinPartitions("__bucket", *[F.col(f"`{c}`") for c in order]).write.partitionBy("__bucket").parquet(path)
         if not self.files.exists(self._path(path)):
             return {}

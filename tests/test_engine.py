@@ -186,6 +186,15 @@ def test_log(engine, homes):
     assert engine.sql("select type from @ACTIVITY where collection = homes and type = count").count() == 1
 
 
+def test_profile_and_stop_words(engine, homes):
+    found = homes.profile(homes.parse("select id from homes where rooms = 2"))
+    assert found["rows"] == 6 and found["execution"] > 0 and "Filter" in found["plan"]
+    assert engine.last(1).first()["plan"].endswith("6 rows")
+    quiet = Engine(engine.spark, engine.store.root, tokens_to_ignore=["chien"]).collection("homes")
+    assert quiet.search("chien").count() == 0 and homes.search("chien").count() == 10
+    assert homes.index().search("chien", ignore_above=5).count() == 0
+
+
 def test_feeds(engine, homes, spark, tmp_path):
     with homes.feed() as rows:
         rows.append({"id": 100})
