@@ -27,6 +27,9 @@ HOT_KEYS = 200
 #: Bytes of text that one numpy step handles at most (a longer single text makes a step of its own).
 STEP_BYTES = 1 << 20
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -70,6 +73,13 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: 1000 of them make an Arrow batch, unless the session asks for another number than Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """``mapInArrow`` with a per-task ``setup`` value handed to the kernel as second argument."""
 
@@ -79,6 +89,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
             if batch.num_rows:
                 yield from (kernel(batch, state) if setup else kernel(batch))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -257,7 +268,7 @@ def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
 class Memo:
     """Rows by 64-bit hash, kept over a worker's steps; forgets all when full."""
 
-    def __init__(self, width: int, most: int = 800_000, dtype=np.int64):
+    def __init__(self, width: int, most: int = 400_000, dtype=np.int64):
         self.most, self.width, self.dtype = most, width, dtype
         self.clear()
 

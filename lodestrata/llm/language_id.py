@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, Rolling, bounded_sample, crc_mod, distinct_spans, letters, map_batches, mix, row_of, steps, table, utf8
+from .common import Memo, Rolling, bounded_sample, crc_mod, distinct_spans, letters, map_batches, mix, row_of, small_batches, steps, table, utf8
 
 UNDETERMINED = "und"
 #: Words per block of the blocked forward-backward pass.
@@ -333,6 +333,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) ->
             columns[lang] = pc.coalesce(columns[lang], pa.array(pred.tolist(), columns[lang].type))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
