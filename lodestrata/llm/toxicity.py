@@ -155,21 +155,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 40) -
     return w[:-1], float(w[-1])
 
 
-def _lexicon(texts: pa.Array, label: np.ndarray, entries: int, tail: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(texts: pa.Array, label: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and log-odds of the units that mark toxic texts best, by the lower bound of their precision and their repetition."""
     buf, offs = utf8(texts)
-    low, start, end = letters(buf, offs)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    row = row_of(offs, start)
-    roll = Rolling(low)
+    gathered: dict[int, list] = {length: [] for length in _LENGTHS}
+    for i, j in steps(offs):
+        at = offs[i : j + 1] - offs[i]
+        low, start, end = letters(buf[offs[i] : offs[j]], at)
+        row, roll = row_of(at, start) + i, Rolling(low)
+        for length in _LENGTHS:
+            found, who = _keys(roll, start, end, length)
+            # A unit's times in a row: rows don't straddle steps, so each pair is complete here.
+            both = mix(found ^ (row[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            _, first, times = np.unique(both, return_index=True, return_counts=True)
+            gathered[length].append((found[first], row[who[first]].astype(np.int32), times.astype(np.int32)))
     n1, n0 = max(int((label == 1).sum()), 1), max(int((label == 0).sum()), 1)
     keys, scores, odds = [], [], []
     for length in _LENGTHS:
-        found, who = _keys(roll, start, end, length)
-        pair, times = np.unique(np.stack([found, row[who].astype(np.uint64)]), axis=1, return_counts=True) if len(found) else (np.zeros((2, 0), np.uint64), np.zeros(0, int))
-        unit, back = np.unique(pair[0], return_inverse=True)
-        toxic = label[pair[1].astype(np.int64)] == 1
+        found, rows, times = (np.concatenate(x) for x in zip(*gathered.pop(length)))
+        unit, back = np.unique(found, return_inverse=True)
+        toxic = label[rows] == 1
         for least in (1, 2):
             ok = times >= least
             t = np.bincount(back, toxic & ok, len(unit))
@@ -215,7 +220,7 @@ def score_buffer(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 4000) -> Model:
     """Train on at most ``train_rows`` labelled rows, the ones of smallest id hash; a document with several labels counts as toxic if one says so."""
     marks = bounded_sample(labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id", train_rows)
     rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic").collect()
