@@ -119,7 +119,7 @@ class LabelModel:
                 for c, v in enumerate((-1, 0, 1)):
                     self.rates[y, :, c] = ((vote == v) * p[:, None]).sum(0) + 1
                 self.rates[y] /= self.rates[y].sum(1, keepdims=True)
-            if k == 1:
+            if not k:  # while the labels alone speak: later posteriors lean on the very voters in question
                 self._correlate(vote, post)
             self.prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
             post = self.posterior(vote, noisy)
