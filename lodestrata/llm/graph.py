@@ -106,8 +106,8 @@ def link_buckets(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.nd
     hot = save(sizes, "hot-buckets")
     n_hot = hot.count()
     if n_hot:
-        side = F.broadcast(hot) if n_hot <= 50_000 else hot
-        placed = rows.join(side, "bucket", "left").withColumn("nb", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size")
+        sized = rows.join(F.broadcast(hot), "bucket", "left") if n_hot <= 50_000 else join_keyed(rows, hot, "bucket", counts=hot.select("bucket", F.col("size").alias("n")))
+        placed = sized.withColumn("nb", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size")
         own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
         placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *extra)
