@@ -279,7 +279,7 @@ class Tagger:
 
 def fit(docs: DataFrame, train_rows: int = 1500, key: str = "doc_id") -> Model | None:
     """Train on at most ``train_rows`` rows with a label and a text, the ones of smallest key hash."""
-    sample = bounded_sample(docs.filter("lang is not null and text is not null").select(key, "text", "lang"), key, train_rows).collect()
+    sample = bounded_sample(docs.filter("lang is not null").select(key, "text", "lang"), key, train_rows).filter("text is not null").collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
