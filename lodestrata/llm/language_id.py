@@ -312,7 +312,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_batches(source, kernel, f"doc_id {kind}, lang_pred string, score double", lambda: Tagger(shared.value))
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text has a language, by a score of at least ``least``; a null ``lang`` is filled in. All columns
     stay. Without a model nothing can be told and nothing goes but texts that are null or have no letter."""
     if model is None:

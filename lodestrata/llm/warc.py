@@ -242,7 +242,7 @@ def _read(manifest: DataFrame, segmented: bool) -> DataFrame:
                     yield _batch(rows)
 
     # One file is a unit of work: spread them evenly, each to a task of its own where there are enough tasks.
-    return manifest.select("path").repartition(max(1, min(manifest.count(), 4096))).mapInArrow(run, _READ)
+    return manifest.select("path").repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
