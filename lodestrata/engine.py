@@ -26,7 +26,7 @@ from .plans.builder import Builder, Condition
 from .plans.subset import is_subset
 from .schema import CollectionSchema, Field, compatibility, OK, REINDEX, of_frame
 from .sources import csv, documents
-from .sources.store import BUCKETS, Store
+from .sources.store import BUCKETS, Store, scratch
 
 ACTIVITY = "@ACTIVITY"
 LOG_ROWS = 10_000
@@ -333,7 +333,14 @@ class Collection:
 
     def _ranked(self, query: Q.Query) -> DataFrame:
         """Documents by relevance; a structured condition filters them before the bound is applied, an order by is dropped."""
-        ranked = self.index().search(query.full_text, stop=self.engine.tokens_to_ignore).withColumnRenamed("key", "__key")
+        stop = self.engine.tokens_to_ignore
+        if self._is_view:
+            if not self.schema.full_text:
+                raise BindError(f"{self.name} has no full-text fields")
+            found = fulltext.scan(fulltext.lines(self.frame(), self.schema), query.full_text, scratch(self.engine.spark), stop=stop)
+        else:
+            found = self.index().search(query.full_text, stop=stop)
+        ranked = found.withColumnRenamed("key", "__key")
         rows = C.filtered(self.frame(), query, self.schema)
         found = rows.join(ranked, F.col(f"`{self.schema.key}`") == F.col("__key"))
         if query.distinct:

@@ -29,14 +29,16 @@ _MARKED, _PLAIN = _latin()
 
 
 def tokens(line: Column, squeeze: bool = True) -> Column:
-    """Normalised tokens of a line in order: no marks, small letters, repeated characters once."""
-    found = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: normalize(t, squeeze))
-
+    """Normalised tokens of a line in order: no marks, small letters, repeated characters once.
 
-def normalize(token: Column, squeeze: bool = True) -> Column:
-    out = F.lower(F.regexp_replace(F.translate(token, _MARKED, _PLAIN), r"\p{Mn}", ""))
-    return F.regexp_replace(out, r"(.)\1+", "$1") if squeeze else out
+    Tokens hold no white space, so they are joined by blanks, normalised as one string and split again: no work per token.
+    """
+    found = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
+    out = F.lower(F.translate(F.array_join(found, " "), _MARKED, _PLAIN))
+    out = F.when(out.rlike(r"\p{Mn}"), F.regexp_replace(out, r"\p{Mn}", "")).otherwise(out)
+    if squeeze:
+        out = F.regexp_replace(out, r"(\S)\1+", "$1")
+    return F.when(F.size(found) > 0, F.split(out, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def normalize_text(token: str, squeeze: bool = True) -> str:

@@ -6,14 +6,16 @@ tokens in it, times 100 n when n > 1 of them are there, times a bonus for tokens
 times the number of distinct query tokens it has; documents under a twentieth of the best are cut.
 
 ``Index`` keeps the postings as a table bucketed by token hash, written once per snapshot; a search reads the few tokens it needs
-through a pushed filter. Only the query's tokens and one maximum are ever on the driver.
+through a pushed filter. ``scan`` ranks without an index in one pass over the lines. Only the query's tokens and one maximum are ever on the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +45,12 @@ def _texts(c: Column, kind: T.DataType) -> Column | None:
 _DATE_LIKE = r"^\d{4}-\d{2}-\d{2}(T[\d:.]+Z?([+-]\d{2}:\d{2})?)?$"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few files make few tasks; tokenising is worth a shuffle of the rows then. Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def lines(df: DataFrame, schema: CollectionSchema, fields: Iterable[str] | None = None) -> DataFrame:
     """(key, line, text) of every text of the fields that are searched."""
     arrays = []
@@ -68,7 +76,7 @@ def frequencies(posted: DataFrame) -> DataFrame:
 
 def most_frequent(df: DataFrame, schema: CollectionSchema, most: int, fields: Iterable[str] | None = None, squeeze: bool = True) -> DataFrame:
     """(token, df): the tokens in most lines, ties by token."""
-    return frequencies(postings(lines(df, schema, fields), squeeze)).orderBy(F.col("df").desc(), "token").limit(most)
+    return frequencies(postings(spread(lines(df, schema, fields)), squeeze)).orderBy(F.col("df").desc(), "token").limit(most)
 
 
 def bonus(query: list[str], positions: dict[str, int]) -> float:
@@ -83,10 +91,10 @@ def bonus(query: list[str], positions: dict[str, int]) -> float:
     return out
 
 
-def _bonus_column(query: list[str], at: Column) -> Column:
-    """The same as an expression over a map token -> first position; ``query`` is short, so is the fold over it."""
+def _bonus_column(query: list[str], at: dict[str, Column]) -> Column:
+    """The same as an expression over columns that hold each token's place, from 1, or 0; ``query`` is short, so is the fold."""
     start = F.struct(F.lit(1.0).alias("m"), F.lit(-1).alias("k"), F.lit(-1).alias("p"))
-    places = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(at[t], F.lit(-1)).alias("p")) for k, t in enumerate(query)])
+    places = F.array(*[F.struct(F.lit(k).alias("k"), (at[t] - 1).cast("int").alias("p")) for k, t in enumerate(query)])
 
     def step(acc: Column, x: Column) -> Column:
         gap = (x["p"] - acc["p"]) - (x["k"] - acc["k"])
@@ -107,7 +115,7 @@ class Index:
     @staticmethod
     def write(df: DataFrame, schema: CollectionSchema, path: str, squeeze: bool = True) -> None:
         """Sorted by token inside hash buckets, so that a token's row groups can be found by their statistics."""
-        posted = postings(lines(df, schema), squeeze).withColumn("_b", F.pmod(F.xxhash64("token"), F.lit(Index.BUCKETS)).cast("int"))
+        posted = postings(spread(lines(df, schema)), squeeze).withColumn("_b", F.pmod(F.xxhash64("token"), F.lit(Index.BUCKETS)).cast("int"))
         # A frequent token may hold a large share of the postings: its rows are dealt out by key within the bucket.
         posted.repartition("_b", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("_b", "token").write.partitionBy("_b").parquet(path)
 
@@ -142,40 +150,68 @@ class Index:
 
         Tokens of ``stop``, and those in more than ``ignore_above`` lines, count for nothing.
         """
-        split = X.split_text(text)
-        query = [X.normalize_text(t, self.squeeze) for t in split]
-        stop = set(stop)
-        wanted = list(dict.fromkeys(q for q in query if not X.is_symbol(q) and q not in stop))
-        spark = self.posted.sparkSession
-        key = self.posted.schema["key"].dataType
-        nothing = spark.createDataFrame([], T.StructType([T.StructField("key", key), T.StructField("score", T.DoubleType()), T.StructField("tokens", T.IntegerType())]))
+        query, wanted = _query(text, stop, self.squeeze)
         if not wanted:
-            return nothing
+            return _nothing(self.posted.sparkSession, self.posted.schema["key"].dataType)
         every = list(dict.fromkeys(query))
         hits = self._of_tokens(every)
         total = self.entries() if entries is None else entries
         df = {r[0]: r[1] for r in frequencies(hits.filter(F.col("token").isin(wanted))).collect()}
-        if not df or not total:
-            return nothing
-        known = [t for t in wanted if 0 < df.get(t, 0) <= ignore_above]
-        if not known:
-            return nothing
-        weight = F.create_map(*[x for t in known for x in (F.lit(t), F.log10(F.lit(float(total)) / F.lit(float(df[t]))))])
-        scored = F.col("token").isin(known)
-        per_line = hits.groupBy("key", "line").agg(
-            F.sum(F.when(scored, weight[F.col("token")])).alias("base"),
-            F.count(F.when(scored, 1)).alias("n"),
-            F.map_from_entries(F.collect_list(F.struct("token", "position"))).alias("at"),  # as many as the query has tokens
-            F.collect_set(F.when(scored, F.col("token"))).alias("found"),
-        ).filter("n > 0")
-        factor = F.when(F.col("n") > 1, 100.0 * F.col("n")).otherwise(1.0)
-        line = per_line.select("key", (F.col("base") * factor * _bonus_column(query, F.col("at"))).alias("s"), "found")
-        # Distinct tokens of a document without collecting its lines: one flag per query token.
-        flags = [F.max(F.array_contains("found", t).cast("int")).alias(f"f{k}") for k, t in enumerate(known)]
-        docs = line.groupBy("key").agg(F.sum("s").alias("s"), *flags)
-        count = sum((F.col(f"f{k}") for k in range(len(known))), F.lit(0))
-        ranked = docs.select("key", (F.col("s") * count).alias("score"), count.cast("int").alias("tokens"))
-        best = ranked.agg(F.max("score").alias("best"))
-        kept = ranked.join(F.broadcast(best)).filter(F.col("score") >= F.col("best") / CUT).drop("best")  # the other side is one row
-        out = kept.orderBy(F.col("score").desc(), "key")
-        return out.limit(take) if take else out
+        place = [F.min(F.when(F.col("token") == t, F.col("position") + 1)).alias(f"p{k}") for k, t in enumerate(every)]
+        per_line = hits.groupBy("key", "line").agg(*place)
+        per_line = per_line.select("key", "line", *[F.coalesce(f"p{k}", F.lit(0)).alias(f"p{k}") for k in range(len(every))])
+        return _rank(per_line, query, wanted, df, total, take, ignore_above)
+
+
+def _query(text: str, stop: Iterable[str], squeeze: bool) -> tuple[list[str], list[str]]:
+    """The query's tokens in order, and the distinct ones that score."""
+    query = [X.normalize_text(t, squeeze) for t in X.split_text(text)]
+    stop = set(stop)
+    return query, list(dict.fromkeys(q for q in query if not X.is_symbol(q) and q not in stop))
+
+
+def _nothing(spark: SparkSession, key: T.DataType) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([T.StructField("key", key), T.StructField("score", T.DoubleType()), T.StructField("tokens", T.IntegerType())]))
+
+
+def _rank(per_line: DataFrame, query: list[str], wanted: list[str], df: dict[str, int], total: int, take: int, ignore_above: int) -> DataFrame:
+    """Scores from (key, line, p0, p1, ...): the place, from 1, of each distinct query token in the line, 0 where it isn't."""
+    every = list(dict.fromkeys(query))
+    known = [t for t in wanted if 0 < df.get(t, 0) <= ignore_above]
+    if not known or not total:
+        return _nothing(per_line.sparkSession, per_line.schema["key"].dataType)
+    at = {t: F.col(f"p{k}") for k, t in enumerate(every)}
+    base = sum((F.when(at[t] > 0, math.log10(total / df[t])).otherwise(0.0) for t in known), F.lit(0.0))
+    n = sum(((at[t] > 0).cast("int") for t in known), F.lit(0))
+    factor = F.when(n > 1, 100.0 * n).otherwise(1.0)
+    flags = [(at[t] > 0).cast("int").alias(f"f{k}") for k, t in enumerate(known)]
+    line = per_line.filter(n > 0).select("key", (base * factor * _bonus_column(query, at)).alias("s"), *flags)
+    docs = line.groupBy("key").agg(F.sum("s").alias("s"), *[F.max(f"f{k}").alias(f"f{k}") for k in range(len(known))])
+    count = sum((F.col(f"f{k}") for k in range(len(known))), F.lit(0))
+    ranked = docs.select("key", (F.col("s") * count).alias("score"), count.cast("int").alias("tokens"))
+    best = ranked.agg(F.max("score").alias("best"))
+    kept = ranked.join(F.broadcast(best)).filter(F.col("score") >= F.col("best") / CUT).drop("best")  # the other side is one row
+    out = kept.orderBy(F.col("score").desc(), "key")
+    return out.limit(take) if take else out
+
+
+def scan(lined: DataFrame, text: str, path: str, take: int = 0, stop: Iterable[str] = (), squeeze: bool = True, ignore_above: int = STOP_AFTER) -> DataFrame:
+    """The same ranking without an index, from (key, line, text): all lines are tokenised once.
+
+    The pass writes the lines that have a token of the query to ``path`` and counts, on the way, all postings and each token's.
+    """
+    query, wanted = _query(text, stop, squeeze)
+    spark = lined.sparkSession
+    if not wanted:
+        return _nothing(spark, lined.schema["key"].dataType)
+    every = list(dict.fromkeys(query))
+    split = spread(lined).select("key", "line", X.tokens(F.col("text"), squeeze).alias("tokens"))
+    placed = split.select("key", "line", F.size(F.array_distinct("tokens")).alias("n"), *[F.coalesce(F.array_position("tokens", F.lit(t)), F.lit(0)).cast("int").alias(f"p{k}") for k, t in enumerate(every)])
+    seen = Observation()
+    counted = placed.observe(seen, F.sum("n").alias("n"), *[F.count_if(F.col(f"p{k}") > 0).alias(f"d{k}") for k in range(len(every))])
+    some = reduce(lambda a, b: a | b, [F.col(f"p{k}") > 0 for k in range(len(every))])
+    counted.filter(some).drop("n").write.parquet(path)
+    stats = seen.get
+    df = {t: stats[f"d{k}"] or 0 for k, t in enumerate(every)}
+    hits = spark.read.schema(placed.drop("n").schema).parquet(path)
+    return _rank(hits, query, wanted, df, stats["n"] or 0, take, ignore_above)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from .plans import compile as C
 from .plans.builder import field
 from .schema import of_frame
 from .sources import documents
+from .sources.store import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,18 +30,6 @@ def view(spark: SparkSession, sf_dir: str, name: str, df: DataFrame | None = Non
     return Engine(spark).attach(name, table(spark, sf_dir, name) if df is None else df, KEYS[name], full_text)
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder for an engine: in the cluster's shared folder, or a local one when the master is local and names none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.sparkContext.setCheckpointDir(shared)
-        shared = spark.sparkContext.getCheckpointDir()
-    return f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}"
-
-
 def query(name: str, oracle: str | None):
     def keep(f):
         QUERIES[name] = f
@@ -205,7 +192,8 @@ SEARCH = "erst thing Worthless trash"
 def _search(spark, sf_dir):
     """All documents that the search finds, with their rank score."""
     d = view(spark, sf_dir, "documents", full_text=("text",))
-    return d.index().search(SEARCH).select(F.col("key").alias("doc_id"), "score", "tokens")
+    found = fulltext.scan(fulltext.lines(d.frame(), d.schema), SEARCH, scratch(spark))
+    return found.select(F.col("key").alias("doc_id"), "score", "tokens")
 
 
 @query("q34_mixed", None)
@@ -224,7 +212,7 @@ def _top(spark, sf_dir):
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str) -> tuple[Engine, Collection]:
-    engine = Engine(spark, workspace(spark))
+    engine = Engine(spark, scratch(spark))
     df = table(spark, sf_dir, name)
     target = engine.declare(of_frame(name, df.schema, KEYS[name]))
     target.put_many(df)
@@ -323,7 +311,7 @@ def _metadata(spark, sf_dir):
 def _csv(spark, sf_dir):
     from .sources import csv
 
-    path = workspace(spark) + "/csv"
+    path = scratch(spark) + "/csv"
     table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.csv(path, header=True)
     found = csv.infer(spark, path)
     return csv.feed_frame(spark, path, found).select(F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey").cast("int").alias("s_nationkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"))
@@ -332,7 +320,7 @@ def _csv(spark, sf_dir):
 @query("q46_dump_restore", "SELECT s_suppkey, s_name FROM supplier")
 def _dump(spark, sf_dir):
     engine, s = _stored(spark, sf_dir, "supplier")
-    path = workspace(spark) + "/dump"
+    path = scratch(spark) + "/dump"
     engine.dump(path)
     s.truncate()
     engine.restore(path)

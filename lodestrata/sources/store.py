@@ -8,6 +8,7 @@ name is taken, so writers of several collections commit all or nothing, and read
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -21,6 +22,18 @@ from ..schema import ORDERED, CollectionSchema
 BUCKETS = 16
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a local folder only where the master is local and names none."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
+        shared = sc.getCheckpointDir()
+    return f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}"
+
+
 class Store:
     """Manifests and data below one folder."""
 

@@ -9,7 +9,7 @@ from lodestrata.engine import Engine
 from lodestrata.errors import BindError, EngineError
 from lodestrata.functions import text as X
 from lodestrata.operators import eviction, metadata, pivot
-from lodestrata.operators.fulltext import Index, bonus
+from lodestrata.operators.fulltext import Index, bonus, lines, scan
 from lodestrata.plans.builder import field
 from lodestrata.schema import define, of_frame
 from lodestrata.sources import csv
@@ -108,7 +108,7 @@ def brute(docs, query):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_search_against_the_recipe(spark, seed):
+def test_search_against_the_recipe(spark, seed, tmp_path):
     r = random.Random(seed)
     words = ["nice", "view", "Metro", "close", "beach", "ps4", "c++", "Évian", "rue"]
     docs = {k: [" ".join(r.choice(words) for _ in range(r.randint(0, 8))) for _ in range(r.randint(1, 3))] for k in range(40)}
@@ -117,6 +117,8 @@ def test_search_against_the_recipe(spark, seed):
     for query in ("nice view", "close metro", "ps4", "beach, close + view", "evian", "c++ nothing", "nothing"):
         got = {x["key"]: (x["score"], x["tokens"]) for x in index.search(query).collect()}
         expected = brute(docs, query)
+        scanned = {x["key"]: (x["score"], x["tokens"]) for x in scan(lines(df, of_frame("d", df.schema, "id", ("texts",))), query, str(tmp_path / str(hash(query)))).collect()}
+        assert scanned.keys() == got.keys() and all(math.isclose(scanned[k][0], got[k][0], rel_tol=1e-9) and scanned[k][1] == got[k][1] for k in got)
         assert got.keys() == expected.keys() and all(math.isclose(got[k][0], expected[k][0], rel_tol=1e-9) and got[k][1] == expected[k][1] for k in got), query
     assert index.search("nice", stop=["nice"]).count() == 0 and len(index.stops(above=20)) > 0
 
