@@ -25,6 +25,7 @@ from .plans import sql as S
 from .plans.builder import Builder, Condition
 from .plans.subset import is_subset
 from .schema import CollectionSchema, Field, compatibility, OK, REINDEX, of_frame
+from .shipping import ship
 from .sources import csv, documents
 from .sources.store import BUCKETS, Store, scratch
 
@@ -533,6 +534,7 @@ class Collection:
 
 def _drain(df: DataFrame) -> int:
     """Compute all rows, keep none; returns their number."""
+    ship(df.sparkSession)
     return df.mapInArrow(_lengths, "n long").agg(F.sum("n")).first()[0] or 0
 
 
