@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: No more than this many keys can each hold more than 1/HOT_KEYS of a table's rows.
 HOT_KEYS = 200
 #: Bytes of text that one numpy step handles at most (a longer single text makes a step of its own).
@@ -74,7 +76,9 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: 1000 of them make an Arrow batch, unless the session asks for another number than Spark's default."""
+    """Before a Python kernel is planned. Texts are long: 1000 of them make an Arrow batch, unless the session asks for another number
+    than Spark's default. Workers that would not find this package get it."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(BATCH_ROWS))

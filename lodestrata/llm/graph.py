@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save
+from .common import join_keyed, save, small_batches
 
 #: Rows of a block; a group holds two at most.
 BLOCK = 1024
@@ -76,6 +76,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, component): for each node on an edge (a, b: long, not null) the smallest node it reaches. Loops and repeats are fine."""
+    small_batches(edges.sparkSession)
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = save(edges.mapInArrow(_forest_batches, "a long, b long"), "edges")
     seen = None
@@ -102,6 +103,7 @@ def link_buckets(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.nd
     columns and the bounds (first row, end, and for a pair of blocks where the second begins) of some groups and returns
     (nodes, counts, edges a, edges b).
     """
+    small_batches(rows.sparkSession)
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
     hot = save(sizes, "hot-buckets")
     n_hot = hot.count()

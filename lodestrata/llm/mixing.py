@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save, table
+from .common import join_keyed, save, small_batches, table
 
 BLOCK = 4096
 #: A table of at most so many sources is broadcast; beyond, only hot sources are.
@@ -200,6 +200,7 @@ def cube(units: DataFrame, largest: int) -> DataFrame:
 
 def mix_units(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """(doc_id, source, size, c, source_size, target, total): ``total`` entries for the c rows that agree in doc_id, source and size."""
+    small_batches(docs.sparkSession)
     units = save(docs.select("doc_id", "source", words().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")), "units")
     by_source = save(targets(units, weights), "targets")
     n_sources, n_units = by_source.count(), units.count()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, scratch, table
+from .common import save, scratch, small_batches, table
 
 CRLF = b"\r\n"
 SEGMENT = 32 << 10
@@ -145,6 +145,7 @@ def _file_system(path: str):
 
 def write_archive(pages: DataFrame, segment: int = SEGMENT, folder: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html); returns the manifest (path, bytes, records)."""
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
 
@@ -273,6 +274,7 @@ def assemble(group: pa.Table) -> pa.Table:
 
 def read_archive(manifest: DataFrame) -> DataFrame:
     """(record_id, warc_type, target_uri, refers_to, header_digest, stated_bytes, payload, problem): one row per logical record."""
+    small_batches(manifest.sparkSession)
     whole = _read(manifest, False).select("record_id", "warc_type", "target_uri", "refers_to", "header_digest", "stated_bytes", F.col("data").alias("payload"), F.lit(None).cast("string").alias("problem"))
     return whole.unionByName(_read(manifest, True).groupBy("origin").applyInArrow(assemble, _PAYLOADS))
 
