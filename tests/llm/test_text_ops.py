@@ -232,6 +232,14 @@ def test_toxicity_without_labels(spark):
     assert rows[0]["score"] > rows[1]["score"]
 
 
+def test_toxicity_trains_on_six_thousand_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, label: seen.append(len(texts)))
+    ids = spark.range(6500).withColumnRenamed("id", "doc_id")
+    toxicity.fit(ids.withColumn("text", F.lit("a word")), ids.withColumn("toxic", F.lit(0)))
+    assert seen == [6000]
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 3000)
