@@ -146,6 +146,15 @@ def test_encode_decode_rows(spark):
     assert sentencepieces.encode(frame(spark, ODD).limit(0), model).count() == 0
 
 
+def test_query_projects_every_piece_to_source_bytes(spark):
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    rows = sentencepieces.op8_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        assert len(r["begins"]) == len(r["ends"]) == r["n_tokens"]
+        assert b"".join(text[r["doc_id"]][a:b] for a, b in zip(r["begins"], r["ends"])) == text[r["doc_id"]]
+
+
 # -- language
 
 
