@@ -2,16 +2,16 @@
 
 The library is asked only for pieces that it provably cuts the same way inside the whole text.
 
-* Between a non-space and a white-space character the byte-level pre-tokenizer always ends a pre-token, whatever stands further
+* In texts of at most ``window`` characters: between a non-space and a white-space character the byte-level pre-tokenizer always ends a pre-token, whatever stands further
   left, so texts are spliced at those boundaries and each distinct piece is encoded once per task (a bounded memo).
 * Pieces of ASCII and Latin letters (whose classes no Unicode version disputes) go through tiktoken with ranks made from the same
   .json: where every merge yields the next id, a pair can only be joined at rank r when all lower merges inside its bytes are
   done, so joining "any pair that spells a token" and joining "listed pairs" take the same course. ``Counter`` checks that
   premise when it loads the model and otherwise uses the library alone.
-* A piece without such a boundary (base64 blobs, unspaced scripts) that is longer than ``window`` characters is encoded in
-  overlapping windows with offsets. Two neighbours are spliced at the first pre-token boundary that both show, far enough from
+* A text that is longer than ``window`` characters, or has white space outside ASCII, is encoded in overlapping windows with
+  offsets. Two neighbours are spliced at the first pre-token boundary that both show, far enough from
   the left window's end for look-ahead and special strings; from there both follow the same course, since matching runs left to
-  right and depends on the position alone. When no boundary agrees the overlap is doubled, up to the rest of the piece.
+  right and depends on the position alone. When no boundary agrees the overlap is doubled, up to the rest of the text.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows stay; an empty table stays empty; other columns are ignored.
 """
@@ -107,7 +107,9 @@ class Counter:
             return out
         odd = np.flatnonzero(_ODD_BYTES[buf])
         odd = odd[_odd_space(buf, odd)]
-        whole = np.unique(row_of(offs, odd))
+        # A row's characters are its bytes but those that continue a character.
+        chars = np.diff(np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offs])
+        whole = np.union1d(row_of(offs, odd), np.flatnonzero(chars > self.window))
         start, row = self._cut(buf, offs)
         end = np.append(start[1:], len(buf))
         if len(whole):
@@ -138,9 +140,7 @@ class Counter:
         others = np.flatnonzero(~regular & ~known)
         for at in range(0, len(others), 2048):
             texts = [buf[s[k] : e[k]].tobytes().decode() for k in others[at : at + 2048]]
-            short = [t for t in texts if len(t) <= self.window]
-            found = iter(self.tokenizer.encode_batch_fast(short, add_special_tokens=False))
-            size[others[at : at + 2048]] = [len(next(found)) if len(t) <= self.window else self.long(t) for t in texts]
+            size[others[at : at + 2048]] = [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.memo.add(hashes[~known], size[~known, None])
         return out + np.bincount(row, size[inverse], n).astype(np.int64)
 

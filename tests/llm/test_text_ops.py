@@ -77,6 +77,14 @@ def test_token_counts_are_the_library_s(counter, alphabet):
     assert [counter.long(t) for t in texts if t] == plain_counts(counter, [t for t in texts if t])
 
 
+def test_texts_longer_than_the_window_go_through_windows(counter, monkeypatch):
+    seen, long = [], counter.long
+    monkeypatch.setattr(counter, "long", lambda t: seen.append(t) or long(t))
+    texts = ["plain words with spaces " * 40, "x" * 64, "é" * 64, "é " * 33, "short one"]
+    assert counter.counts(*buffers(texts)).tolist() == plain_counts(counter, texts)
+    assert seen == [texts[0], texts[3]]
+
+
 def test_vocabulary_meets_the_premise(counter):
     """Each token's own text is that token, which is what makes joining by rank and joining by list the same."""
     assert counter.ranked is not None
