@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Train on the documents' own labels; texts without a language, or with none that holds 30 % of the words, go."""
+    """Train on the documents' own labels; texts without a language, of several in even parts, or of unsure words go."""
     return language_id.keep_identified(docs.select(*COLUMNS), language_id.fit(docs))
 
 

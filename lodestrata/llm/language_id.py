@@ -246,6 +246,10 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 17, epochs: in
     return Model(labels, weights, transition, begin)
 
 
+#: Words from which on a text's unsure words speak against it; fewer may be unsure in any language.
+_ENOUGH = 12
+
+
 class Tagger:
     def __init__(self, model: Model):
         self.model, self.memo = model, Memo(len(model.labels), dtype=np.float32)
@@ -271,11 +275,32 @@ class Tagger:
 
     def documents(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """(rows, labels) shares of the words' marginals, weighted by length; zeros for rows without words."""
-        start, end, row, post = self.words(buf, offs)
-        n, size = len(offs) - 1, (end - start).astype(np.float64)
+        return self._shares(*self.words(buf, offs), len(offs) - 1)
+
+    def _shares(self, start: np.ndarray, end: np.ndarray, row: np.ndarray, post: np.ndarray, n: int) -> np.ndarray:
+        size = (end - start).astype(np.float64)
         total = np.stack([np.bincount(row, post[:, y] * size, n) for y in range(post.shape[1])], 1) if len(row) else np.zeros((n, len(self.model.labels)))
         return total / np.maximum(total.sum(1, keepdims=True), 1e-300)
 
+    def certainty(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``documents`` and each row's certainty: 0 when its shares are even, whatever the number of labels, and 1 when one label
+        has all. In rows of ``_ENOUGH`` words or more it falls with the square of how sure the words are, on the same scale: words of
+        no known language may lean to one label together, but no single one is sure. Letter runs beside a digit (hashes, ids) are left
+        out where a row has others. With one label nothing can be told: 1."""
+        start, end, row, post = self.words(buf, offs)
+        n, k = len(offs) - 1, len(self.model.labels)
+        share = self._shares(start, end, row, post, n)
+        if k < 2:
+            return share, np.ones(n)
+        digit = np.concatenate([(buf >= 48) & (buf <= 57), [False]])
+        plain = ~(((start > offs[row]) & digit[start - 1]) | ((end < offs[row + 1]) & digit[end]))
+        plain |= (np.bincount(row[plain], minlength=n) == 0)[row]
+        start, end, row, post = start[plain], end[plain], row[plain], post[plain]
+        above = lambda x: np.clip((k * x - 1) / (k - 1), 0, 1)
+        size = (end - start).astype(np.float64)
+        sure = np.bincount(row, post.max(1) * size, n) / np.maximum(np.bincount(row, size, n), 1)
+        return share, above(self._shares(start, end, row, post, n).max(1)) * np.where(np.bincount(row, minlength=n) >= _ENOUGH, above(sure) ** 2, 1)
+
 
 def fit(docs: DataFrame, train_rows: int = 1500, key: str = "doc_id") -> Model | None:
     """Train on at most ``train_rows`` rows with a label and a text, the ones of smallest key hash."""
@@ -285,7 +310,10 @@ def fit(docs: DataFrame, train_rows: int = 1500, key: str = "doc_id") -> Model |
 
 def predict(tagger: Tagger, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label and score of each row of a UTF-8 buffer."""
-    share = tagger.documents(buf, offs)
+    return _labelled(tagger, buf, offs, tagger.documents(buf, offs))
+
+
+def _labelled(tagger: Tagger, buf: np.ndarray, offs: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # Non-ASCII bytes need not be letters: texts without an ASCII letter are looked at one by one.
     ascii_letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
     some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[offs]) > 0
@@ -312,9 +340,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_batches(source, kernel, f"doc_id {kind}, lang_pred string, score double", lambda: Tagger(shared.value))
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, by a score of at least ``least``; a null ``lang`` is filled in. All columns
-    stay. Without a model nothing can be told and nothing goes but texts that are null or have no letter."""
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.15) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, by a certainty (see ``Tagger``) of at least ``least``; a null ``lang`` is filled
+    in. All columns stay. Without a model nothing can be told and nothing goes but texts that are null or have no letter."""
     if model is None:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -326,9 +354,13 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3) ->
             if not batch.num_rows:
                 continue
             buf, offs = utf8(batch.column(text))
-            found = [predict(tagger, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in steps(offs)]
-            pred, score = (np.concatenate(x) for x in zip(*found))
-            kept = pa.array((pred != UNDETERMINED) & (score >= least))
+            found = []
+            for i, j in steps(offs):
+                part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                share, sure = tagger.certainty(part, at)
+                found.append((_labelled(tagger, part, at, share)[0], sure))
+            pred, sure = (np.concatenate(x) for x in zip(*found))
+            kept = pa.array((pred != UNDETERMINED) & (sure >= least))
             columns = batch.columns
             columns[lang] = pc.coalesce(columns[lang], pa.array(pred.tolist(), columns[lang].type))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)

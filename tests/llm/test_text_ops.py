@@ -226,6 +226,26 @@ def test_code_switching(spark):
     assert first.count("de") > 0.8 * len(first) and rest.count("fr") > 0.8 * len(rest)
 
 
+def test_mixed_and_junk_texts_are_rejected(spark):
+    docs, known = held_out(spark)
+    model = language_id.fit(known, 400)
+    by = {r["lang"]: r["text"].split()[:40] for r in docs.filter("n_chars > 1500").collect()}
+    r = random.Random(1)
+    mixed = " ".join(w for words in by.values() for w in words[:15])
+    shuffled = " ".join(w for words in zip(*by.values()) for w in words)
+    junk = " ".join("".join(r.choice("qwrtzpsdfghjklxcvbnm") for _ in range(r.randint(2, 9))) for _ in range(40))
+    clean = [" ".join(words[:n]) for words in by.values() for n in (1, 2, 3, 5, 40)]
+    kept = language_id.keep_identified(frame(spark, [*clean, mixed, shuffled, junk]), model)
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(len(clean)))
+
+
+def test_certainty_has_one_scale_for_any_number_of_labels():
+    for k in (2, 3, 4):
+        tagger = language_id.Tagger(language_id.Model(list("abcd")[:k], np.zeros((1 << 10, k), np.float32), np.zeros((k, k)), np.zeros(k)))
+        share, sure = tagger.certainty(*buffers(["some words of no language", ""]))
+        assert np.allclose(share[0], 1 / k) and np.allclose(sure, 0)
+
+
 # -- toxicity
 
 
