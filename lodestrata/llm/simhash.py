@@ -246,14 +246,21 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 3, broadcast_rows: int
     """One row of each component of ``docs``, the one of smallest doc_id; all columns stay.
 
     The ids to drop are broadcast only while they are at most ``broadcast_rows``; beyond, the same anti-join shuffles. Rows that share
-    an id, or have none, are told apart by their text: exact repeats go.
+    an id, or have none, are told apart by their text: exact repeats go, and an id with rows to keep and rows to drop loses only those
+    whose fingerprint is to go.
     """
-    marked = save(near_duplicates(docs.select("doc_id", "text"), distance).select("doc_id", "component_id", "kept"), "near-duplicates")
-    gone = marked.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    side = F.broadcast(gone) if marked.filter("not kept").count() <= broadcast_rows else gone
-    left = docs.join(side, docs["doc_id"] == F.col("__gone"), "left_anti")
-    stay = marked.filter("kept")
-    repeated = save(stay.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
+    marked = save(near_duplicates(docs.select("doc_id", "text"), distance).select("doc_id", "fingerprint", "component_id", "kept"), "near-duplicates")
+    ids = save(marked.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")).filter("go > 0 or stay > 1 or doc_id is null"), "marked-ids")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    gone = ids.filter("go > 0 and stay = 0 and doc_id is not null").select(F.col("doc_id").alias("__gone"))
+    left = docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    split = ids.filter("go > 0 and stay > 0 and doc_id is not null").select("doc_id")
+    if split.limit(1).count():
+        texts = docs.join(small(split), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text")).distinct()
+        prints = simhash(texts.select(F.struct("doc_id", "text").alias("doc_id"), "text")).select("doc_id.*", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+        drop = prints.join(marked.filter("not kept").select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_semi").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+        left = left.join(save(drop, "split-ids"), (left["doc_id"] == F.col("__id")) & left["text"].eqNullSafe(F.col("__text")), "left_anti")
+    repeated = ids.filter("stay > 1 or (stay > 0 and doc_id is null)").select("doc_id")
     n = repeated.count()
     if not n:
         return left

@@ -147,6 +147,15 @@ def test_dropping_near_duplicates(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("2", "a b c d"), ("7", None), ("9", "something else entirely here"), ("None", "no id at all")]
 
 
+def test_dropping_keeps_other_texts_of_a_dropped_id(spark):
+    a, b = "a b c d", "something else entirely here"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (6, a), (8, None), (9, ""), (9, b + " and more of it")], "doc_id long, text string")
+    for most in (1_000_000, 0):
+        kept = simhash.drop_near_duplicates(df, broadcast_rows=most)
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (5, b), (8, None), (9, b + " and more of it")]
+
+
 # -- embeddings
 
 
