@@ -307,6 +307,15 @@ def test_secret_candidates_and_scores(spark):
     assert ((forest.predict(x) >= 0.5) == np.array([y for *_, y in own])).mean() > 0.97
 
 
+def test_assigned_values_are_candidates_whatever_their_length_and_characters(spark):
+    values = ["hX7!kq92", "Tr0ub@dor#9", "qzkxvwjpmtrhgbdlqzkx", "aZ9!bY8@cX7#dW6$eV5", "p4ss:w0rd%91", "x", "None"]
+    texts = [f"{name}{v} and more" for v in values for name in ("password = ", "the api_key=", "Secret: ")] + [f'"client_token": "{v}", "a": 1' for v in values] + ["a plain sentence: nothing here = none"]
+    spans = lambda t: [t.encode()[a:b].decode() for a, b in zip(*secrets.candidates(*buffers([t])))]
+    assert [spans(t) for t in texts] == [[v] for v in values for _ in range(3)] + [[v] for v in values] + [[]]
+    rows = {r["doc_id"]: r["n_secrets"] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert all(rows[k] == 1 for k in range(15)) and all(rows[k] == 0 for k in (*range(15, 21), *range(26, 29)))
+
+
 def test_every_planted_token_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {(r["doc_id"], m.encode()) for r in docs.collect() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', r["text"])}
