@@ -169,6 +169,11 @@ def _json(spark, sf_dir):
     return documents.as_json(_run(view(spark, sf_dir, "orders"), "select o_orderkey, o_orderstatus from orders where o_custkey = 11"))
 
 
+@query("q32_to_json_all", "SELECT CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice, 'o_orderpriority': o_orderpriority}) AS VARCHAR) AS json FROM orders")
+def _json_all(spark, sf_dir):
+    return documents.as_json(_run(view(spark, sf_dir, "orders"), "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders"))
+
+
 # -- full text
 
 _TOKENS = r"regexp_extract_all({0}, '\p{{Lu}}+[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]*|[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]+|\p{{Nd}}+|[^\p{{L}}\p{{Nd}}\s\p{{Z}}]+')"

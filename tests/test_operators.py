@@ -196,3 +196,17 @@ def test_condition_on_full_text(spark):
     c = Engine(spark).attach("h", df, "id", ("t",))
     assert [r["id"] for r in c.where(field("p") > 10).full_text("nice view").rows()] == [2]
     assert c.where(field("p") > 10).full_text("nice view").count() == 1
+
+
+# -- JSON
+
+
+def test_every_order_becomes_json(spark):
+    import duckdb
+
+    from lodestrata.queries import ORACLE, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted(r["json"] for r in QUERIES["q32_to_json_all"](spark, folder).collect())
+    sql = ORACLE["q32_to_json_all"].replace("FROM orders", f"FROM '{folder}/orders.parquet'")
+    assert len(got) == spark.read.parquet(f"{folder}/orders.parquet").count() and got == sorted(r[0] for r in duckdb.sql(sql).fetchall())
