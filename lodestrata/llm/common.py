@@ -120,6 +120,28 @@ def join_keyed(left: DataFrame, right: DataFrame, key: str, how: str = "left", c
     return on(left.filter(~is_hot), renamed.filter(~hot_side)).unionByName(on(left.filter(is_hot), F.broadcast(renamed.filter(hot_side))))
 
 
+#: Two 64-bit hashes of a row's columns.
+MARKS = ("mark1", "mark2")
+
+
+def marked(df: DataFrame, *names: str) -> DataFrame:
+    """(row, MARKS, ``names``): ``row`` holds all columns of ``df``, so no name can clash (``select("row.*")`` gives them back); the
+    marks tell rows apart by the contents of all columns that Spark can hash (maps and variants are left out)."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    # A null doesn't change the running hash, so the places of nulls are hashed too.
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in plain])
+    return df.select(F.struct("*").alias("row"), F.xxhash64(nulls, *plain).alias(MARKS[0]), F.xxhash64(F.lit("second"), nulls, *plain).alias(MARKS[1]), *names)
+
+
+def split_repeats(rows: DataFrame, again: DataFrame, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose marks are not in ``again`` (distinct MARKS), and one row for each mark that is (None if ``again`` is empty)."""
+    n = again.count()
+    if not n:
+        return rows, None
+    again = F.broadcast(again) if n <= broadcast_rows else again
+    return rows.join(again, list(MARKS), "left_anti"), rows.join(again, list(MARKS), "left_semi").dropDuplicates(list(MARKS))
+
+
 # ---------------------------------------------------------------- bytes
 
 _WS = np.zeros(256, bool)

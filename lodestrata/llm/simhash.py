@@ -6,9 +6,13 @@ least m - 3 of them, so for every choice of m - 3 blocks the fingerprints with t
 verified by popcount. ``m`` grows with the number of distinct fingerprints, which keeps buckets small; any ``m`` gives the same
 links. A pair that meets in several buckets counts in the first alone.
 
+A text of more than ``STEP_BYTES`` goes through in slices that end at white space: bit counts add up, the last words of a slice go on
+to the next, and shingles across a cut (or with a word longer than a slice) are hashed piece by piece. Memory doesn't grow with it.
+
 Defined results: null and empty texts have fingerprint 0 and link like any other; texts of one or two words are one shingle;
 repeated rows are documents of their own; a null doc_id is never the smallest of its group unless all are null; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``, which decides by rows,
+never by ids: see there.
 """
 
 from __future__ import annotations
@@ -17,15 +21,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _WS, join_keyed, map_batches, row_of, save, steps, table, utf8
+from .common import _LOWER, _WS, MARKS, STEP_BYTES, join_keyed, map_batches, marked, row_of, save, split_repeats, steps, table, utf8, words
 from .graph import components, group_links, link_buckets
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+#: Spans of more bytes go to the library one by one.
+_FAR = 2048
+
+
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
@@ -44,6 +53,12 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
     with np.errstate(over="ignore"):
         s = np.uint64(seed)
         h = np.full(len(start), s + _P5, np.uint64)
+        far = np.flatnonzero(size > _FAR)  # a round of the loop below for each 32 bytes of the longest span
+        if len(far):
+            h[far] = [xxhash.xxh64_intdigest(buf[start[k] : end[k]].tobytes(), seed) for k in far]
+            near = np.flatnonzero(size <= _FAR)
+            h[near] = xxh64(buf, start[near], end[near], seed)
+            return h
         long = np.flatnonzero(size >= 32)
         if len(long):
             v = [np.full(len(long), x, np.uint64) for x in (s + _P1 + _P2, s + _P2, s, s - _P1)]
@@ -79,12 +94,14 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
 
 
 _ONES = np.uint64(0x0101010101010101)
+#: Bit 8 * i + j is counted by byte i of the words that hold the bits j of each byte.
+_BIT = np.array([8 * i + j for j in range(8) for i in range(8)])
 
 
-def majority(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each run [first, end) of hashes the bits set in over half of them."""
+def bit_counts(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(runs, 64): for each run [first, end) of hashes how many have each bit."""
     size = end - first
-    out = np.zeros(len(first), np.uint64)
+    out = np.zeros((len(first), 64), np.int64)
     used = np.flatnonzero(size > 0)
     if not len(used):
         return out
@@ -94,16 +111,21 @@ def majority(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     owner = np.cumsum(chunks) - chunks
     for j in range(8):
         packed = np.add.reduceat((h >> np.uint64(j)) & _ONES, starts)
-        counts = np.add.reduceat(packed.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
-        more = 2 * counts > size[used][:, None]
-        for i in range(8):
-            out[used] |= more[:, i].astype(np.uint64) << np.uint64(8 * i + j)
+        out[used[:, None], _BIT[8 * j : 8 * j + 8]] = np.add.reduceat(packed.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
     return out
 
 
-def fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each row of a UTF-8 buffer."""
+def majority(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of ``size`` hashes."""
+    return ((2 * counts > size[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def shingles(buf: np.ndarray, offs: np.ndarray, width: int, seed: int, short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the rows' shingles, where each row's begin and how many they are. ``short``: fewer words than ``width`` are one."""
     n = len(offs) - 1
+    none = np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not len(buf):
+        return none
     space = _WS[buf]
     inner = np.ones(len(buf), bool)  # first white space behind a word of the same row
     inner[1:] = ~space[:-1]
@@ -120,7 +142,7 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 3, seed: int =
     begin[at_row] |= ~blank[at_row]
     start = np.flatnonzero(begin)
     if not len(start):
-        return np.zeros(n, np.uint64)
+        return none
     row = row_of(rows, start)
     # A word ends where the next blank or the row's end is.
     stop = ~blank
@@ -130,23 +152,90 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 3, seed: int =
     end = np.flatnonzero(stop) + 1
     per_row = np.bincount(row, minlength=n)
     first = np.cumsum(per_row) - per_row
-    shingles = np.maximum(per_row - width + 1, (per_row > 0).astype(per_row.dtype))
-    taken = np.cumsum(shingles) - shingles
-    index = np.arange(int(shingles.sum())) - np.repeat(taken - first, shingles)
-    final = np.minimum(index + width - 1, np.repeat(first + per_row - 1, shingles))
-    return majority(xxh64(low, start[index], end[final], seed), taken, taken + shingles)
+    size = np.maximum(per_row - width + 1, (per_row > 0).astype(per_row.dtype) if short else 0)
+    taken = np.cumsum(size) - size
+    index = np.arange(int(size.sum())) - np.repeat(taken - first, size)
+    final = np.minimum(index + width - 1, np.repeat(first + per_row - 1, size))
+    return xxh64(low, start[index], end[final], seed), taken, size
+
+
+def _hash_words(buf: np.ndarray, spans: list[tuple[int, int]], seed: int) -> int:
+    """Hash of one shingle, a piece at a time."""
+    state = xxhash.xxh64(seed=seed)
+    for k, (a, b) in enumerate(spans):
+        if k:
+            state.update(b" ")
+        for at in range(a, b, STEP_BYTES):
+            state.update(_LOWER[buf[at : min(b, at + STEP_BYTES)]].tobytes())
+    return state.intdigest()
+
+
+def long_fingerprint(buf: np.ndarray, width: int = 3, seed: int = 42, step: int = STEP_BYTES) -> int:
+    """SimHash of one long text, slice by slice."""
+    total, size = np.zeros(64, np.int64), 0
+    tail: list[tuple[int, int]] = []  # the last words so far, whose shingles may go on
+
+    def add(h: np.ndarray, n: int) -> None:
+        nonlocal size
+        if n:
+            total[:] += bit_counts(h, np.array([0]), np.array([n]))[0]
+            size += n
+
+    at = 0
+    while at < len(buf):
+        stop = min(len(buf), at + step)
+        giant = False
+        if stop < len(buf):
+            blank = np.flatnonzero(_WS[buf[at:stop]])
+            if len(blank):
+                stop = at + int(blank[-1]) + 1
+            else:  # one word fills the slice: to its end
+                giant = True
+                while stop < len(buf) and not _WS[buf[stop]]:
+                    more = np.flatnonzero(_WS[buf[stop : stop + step]])
+                    stop = stop + int(more[0]) if len(more) else min(len(buf), stop + step)
+        if giant:
+            spans, n = [(at, stop)], 1
+            h, inside = np.zeros(0, np.uint64), 0
+            head = spans
+        else:
+            start, end = words(buf[at:stop], np.array([0, stop - at]))
+            n = len(start)
+            near = list(zip((start[: width - 1] + at).tolist(), (end[: width - 1] + at).tolist()))
+            spans = list(zip((start[-(width - 1) :] + at).tolist(), (end[-(width - 1) :] + at).tolist())) if width > 1 else []
+            h, _, sizes = shingles(buf[at:stop], np.array([0, stop - at]), width, seed, short=False)
+            inside, head = int(sizes[0]), near
+        if giant and width == 1:
+            h, inside = np.array([_hash_words(buf, spans, seed)], np.uint64), 1
+        add(h, inside)
+        seam = tail + head
+        across = [_hash_words(buf, seam[k : k + width], seed) for k in range(len(tail)) if k + width <= len(seam)]
+        add(np.array(across, np.uint64), len(across))
+        tail = (tail + spans if n < width else spans)[-(width - 1) :] if width > 1 else []
+        at = stop
+    if not size and tail:
+        add(np.array([_hash_words(buf, tail, seed)], np.uint64), 1)
+    return int(majority(total[None], np.array([size]))[0])
+
+
+def fingerprints(buf: np.ndarray, offs: np.ndarray, width: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each row of a UTF-8 buffer."""
+    if len(offs) == 2 and len(buf) > STEP_BYTES:
+        return np.array([long_fingerprint(buf, width, seed)], np.uint64)
+    h, taken, size = shingles(buf, offs, width, seed)
+    return majority(bit_counts(h, taken, taken + size), size)
 
 
-def simhash(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of each row."""
+def simhash(docs: DataFrame, width: int = 3, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, ``carry``) of each row."""
 
     def kernel(batch: pa.RecordBatch):
         buf, offs = utf8(batch.column(1))
         out = [fingerprints(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width, seed) for i, j in steps(offs)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), kernel, f"doc_id {kind}, fp long")
+    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text"), *carry), kernel, f"doc_id {kind}, fp long" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def block_masks(m: int, distance: int = 3) -> list[int]:
@@ -166,10 +255,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, m: int | None = None) -> DataFrame:
-    """(doc_id, fingerprint, n_near, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    prints = save(simhash(docs), "simhash")
-    groups = save(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "fingerprints")
+def _linked(groups: DataFrame, distance: int, m: int | None) -> DataFrame:
+    """``groups`` (fp, copies, ...; a row for each fingerprint) with ``component`` (an fp) and ``near``: rows of other fingerprints linked."""
     masks = block_masks(m or blocks_for(groups.count(), distance), distance)
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("part")) for t, x in enumerate(masks)])).alias("at")
     rows = groups.select(tables, F.col("fp").alias("node"), F.col("copies").alias("w")).select(F.xxhash64("at.t", "at.part").alias("bucket"), "node", F.col("at.t").alias("t"), "w")
@@ -181,8 +268,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, m: int | None = None) ->
         if ok.any():
             at = np.nonzero(ok)
             bits, own = x[at], t[at]
-            first = np.argmax((bits[:, None] & wide) == 0, axis=1)
-            ok[at] = (first == own) & ((bits & wide[own]) == 0)
+            sure = np.empty(len(bits), bool)
+            for k in range(0, len(bits), 1 << 16):
+                b, o = bits[k : k + (1 << 16)], own[k : k + (1 << 16)]
+                sure[k : k + (1 << 16)] = (np.argmax((b[:, None] & wide) == 0, axis=1) == o) & ((b & wide[o]) == 0)
+            ok[at] = sure
         return ok
 
     def kernel(cols, first, end):
@@ -227,11 +317,21 @@ def near_duplicates(docs: DataFrame, distance: int = 3, m: int | None = None) ->
         return join(nodes, np.int64), join(counts, np.int64), join(a, np.int64), join(b, np.int64)
 
     links = save(link_buckets(rows, kernel, ["t", "w"]), "links")
-    near = links.filter("kind = 0").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n"))
+    near = links.filter("kind = 0").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("near"))
     comp = components(links.filter("kind = 1").select("a", "b"))
     named = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    per_print = named.join(lows, "component").join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"), "component_id")
+    return named.join(near, "fp", "left").withColumn("near", F.coalesce("near", F.lit(0)))
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, m: int | None = None) -> DataFrame:
+    """(doc_id, fingerprint, n_near, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+    prints = save(simhash(docs), "simhash")
+    groups = save(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "fingerprints")
+    named = save(_linked(groups, distance, m), "named")
+    members = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    # One component may hold a third of all fingerprints.
+    per_print = join_keyed(named, members.drop("n"), "component", counts=members.select("component", "n"), total=named.count())
+    per_print = per_print.select("fp", (F.col("copies") - 1 + F.col("near")).alias("n_near"), "component_id")
     out = join_keyed(prints, per_print, "fp", counts=groups.select("fp", F.col("copies").alias("n")), total=prints.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -242,39 +342,30 @@ def _expand(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return ragged(first, end - first)
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row of each component of ``docs``, the one of smallest doc_id; all columns stay.
+def drop_near_duplicates(docs: DataFrame, distance: int = 3, broadcast_rows: int = 1_000_000, m: int | None = None) -> DataFrame:
+    """One row of each component of ``docs``; all columns stay.
 
-    The ids to drop are broadcast only while they are at most ``broadcast_rows``; beyond, the same anti-join shuffles. Rows that share
-    an id, or have none, are told apart by their text: exact repeats go, and an id with rows to keep and rows to drop loses only those
-    whose fingerprint is to go.
+    The row of smallest doc_id stays (null ids come last); of rows that share that id the one of smallest fingerprint (signed), then of
+    smallest row hash, so only rows alike in all columns are ever interchangeable, and one of those stays. Ids decide nothing else: a
+    row goes only if its own text is in a component that keeps another row. Rows are told apart by 128 bits of hashes of all their
+    columns. The marks of rows to drop are broadcast (16 bytes each) only while they are at most ``broadcast_rows``; beyond, the same
+    anti-join shuffles.
     """
-    marked = save(near_duplicates(docs.select("doc_id", "text"), distance).select("doc_id", "fingerprint", "component_id", "kept"), "near-duplicates")
-    ids = save(marked.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")).filter("go > 0 or stay > 1 or doc_id is null"), "marked-ids")
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    gone = ids.filter("go > 0 and stay = 0 and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
-    split = ids.filter("go > 0 and stay > 0 and doc_id is not null").select("doc_id")
-    if split.limit(1).count():
-        texts = docs.join(small(split), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text")).distinct()
-        prints = simhash(texts.select(F.struct("doc_id", "text").alias("doc_id"), "text")).select("doc_id.*", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-        drop = prints.join(marked.filter("not kept").select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_semi").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-        left = left.join(save(drop, "split-ids"), (left["doc_id"] == F.col("__id")) & left["text"].eqNullSafe(F.col("__text")), "left_anti")
-    repeated = ids.filter("stay > 1 or (stay > 0 and doc_id is null)").select("doc_id")
-    n = repeated.count()
-    if not n:
-        return left
-    again = repeated.select(F.col("doc_id").alias("__again"))
-    again = F.broadcast(again) if n <= broadcast_rows else again
-    same = left["doc_id"].eqNullSafe(F.col("__again"))
-    null_ids_gone = marked.filter("doc_id is null and component_id is not null").limit(1).count()
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    if null_ids_gone:  # copies without an id of documents that have one
-        prints = simhash(once.select("text", F.col("text").alias("doc_id")).filter("true"), 3).dropDuplicates(["doc_id"])
-        known = simhash(left.filter("doc_id is not null").select("doc_id", "text")).select("fp").distinct()
-        copies = prints.join(known, "fp", "left_semi").select(F.col("doc_id").alias("__copy"))
-        once = once.join(copies, once["doc_id"].isNull() & once["text"].eqNullSafe(F.col("__copy")), "left_anti")
-    return left.join(again, same, "left_anti").unionByName(once)
+    prints = save(simhash(marked(docs, "doc_id", "text").drop("row"), carry=MARKS), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", *MARKS)
+    groups = save(prints.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("copies")), "fingerprints")
+    named = save(_linked(groups, distance, m), "named")
+    members = named.groupBy("component").agg(F.min("low").alias("head"), F.count("*").alias("n"))
+    per_print = join_keyed(named.select("fp", "component"), members.select("component", F.col("head.mark1").alias("head1"), F.col("head.mark2").alias("head2")), "component", counts=members.select("component", "n"), total=named.count())
+    judged = join_keyed(prints, per_print.select("fp", "head1", "head2"), "fp", counts=groups.select("fp", F.col("copies").alias("n")), total=prints.count())
+    stays = (F.col("mark1") == F.col("head1")) & (F.col("mark2") == F.col("head2"))
+    judged = save(judged.groupBy(*MARKS).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "judged-rows")
+    gone, again = judged.filter("not stays").select(*MARKS), judged.filter("stays").select(*MARKS)
+    n_gone = gone.count()
+    rows = marked(docs)
+    left = rows.join(F.broadcast(gone) if n_gone <= broadcast_rows else gone, list(MARKS), "left_anti") if n_gone else rows
+    once, repeats = split_repeats(left, again, broadcast_rows)
+    return (once if repeats is None else once.unionByName(repeats)).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def test_hot_bucket_in_blocks(spark, monkeypatch):
     r = random.Random(9)
     prints = sorted({sum(1 << b for b in r.sample(range(20), r.randint(0, 4))) for _ in range(150)})
     df = spark.createDataFrame([(k, p) for k, p in enumerate(prints)], "doc_id long, fp long")
-    monkeypatch.setattr(simhash, "simhash", lambda docs, *a: df)
+    monkeypatch.setattr(simhash, "simhash", lambda docs, *a, **kw: df)
     out = {x["doc_id"]: x for x in simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), m=4).collect()}
     links = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
     near = np.bincount(np.array(links).ravel(), minlength=len(prints))
@@ -139,21 +139,67 @@ def test_hot_bucket_in_blocks(spark, monkeypatch):
     assert [out[k]["n_near"] for k in range(len(prints))] == near.tolist() and [out[k]["component_id"] for k in range(len(prints))] == comp
 
 
-def test_dropping_near_duplicates(spark):
-    rows = [(5, "a b c d"), (2, "a b c d"), (9, "something else entirely here"), (2, "a b c d"), (None, "a b c d"), (None, "no id at all"), (None, "no id at all"), (7, None), (8, "")]
-    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
-    kept = simhash.drop_near_duplicates(df)
+def plain_drop(rows):
+    """What drop_near_duplicates keeps, as (doc_id, text): a row of each component, by id, fingerprint (signed)."""
+    prints = [plain_print(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    comp = plain_components(list(range(len(rows))), links)
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        key = (i is None, i or 0, prints[k] - (1 << 64) if prints[k] >> 63 else prints[k])
+        best.setdefault(comp[k], set()).add((key, t))
+    return best
+
+
+@pytest.mark.parametrize("seed,most", [(1, 1_000_000), (2, 0), (3, 1_000_000)])
+def test_dropping_decides_by_rows(spark, seed, most):
+    """Repeated ids, null ids, repeated rows, near and exact copies, nulls and empty texts against the plain version."""
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(200)]
+    texts = [None, "", "a", "a b c d"]
+    for _ in range(10):
+        words = [r.choice(base) for _ in range(150)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join(words[:-1])]
+    rows = [(r.choice([None, 1, 2, 3, 4, 5, 6, 7]), r.choice(texts)) for _ in range(120)]
+    df = spark.createDataFrame([(i, t, k % 2, {"a": 1}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, mark1 int, `row` map<string,int>")
+    kept = simhash.drop_near_duplicates(df, broadcast_rows=most)
     assert kept.columns == df.columns
-    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("2", "a b c d"), ("7", None), ("9", "something else entirely here"), ("None", "no id at all")]
-
-
-def test_dropping_keeps_other_texts_of_a_dropped_id(spark):
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    best = plain_drop(rows)
+    allowed = []
+    for found in best.values():
+        top = min(k for k, _ in found)
+        allowed.append({(None if top[0] else top[1], t) for k, t in found if k == top})
+    assert len(got) == len(allowed)
+    for options in allowed:
+        assert sum(g in options for g in got) == 1
+    again = simhash.drop_near_duplicates(df.repartition(7), broadcast_rows=most)
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_dropping_loses_no_other_text(spark):
     a, b = "a b c d", "something else entirely here"
-    df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (6, a), (8, None), (9, ""), (9, b + " and more of it")], "doc_id long, text string")
-    for most in (1_000_000, 0):
-        kept = simhash.drop_near_duplicates(df, broadcast_rows=most)
-        assert kept.columns == df.columns
-        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, a), (5, b), (8, None), (9, b + " and more of it")]
+    for rows, stays in (
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(1, a), (None, a)], [(1, a)]),
+        ([(None, b), (None, b), (None, a)], [(None, a), (None, b)]),
+        ([(3, a), (5, a), (5, b), (5, b), (6, a), (8, None), (9, ""), (9, b + " and more of it")], [(3, a), (5, b), (8, None), (9, b + " and more of it")]),
+    ):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, stays))
+    one_id = [(5, " ".join(f"w{k}" for k in range(400))), (5, " ".join(f"w{k}" for k in range(401)))]
+    assert (plain_print(one_id[0][1]) ^ plain_print(one_id[1][1])).bit_count() <= 3
+    assert simhash.drop_near_duplicates(spark.createDataFrame(one_id, "doc_id long, text string")).count() == 1
+    assert simhash.drop_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_in_slices():
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abAé") for _ in range(r.randint(1, 9))) for _ in range(300)), "x" * 500, "x" * 300 + " y", "a " + "B" * 400 + "  c d\n" + "e" * 200 + " f g", "one two", " " * 200, " " * 90 + "a" + " " * 90, ("w" * 70 + " ") * 9]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for step in (1, 2, 7, 64, 1000):
+            assert simhash.long_fingerprint(raw, step=step) == plain_print(text)
 
 
 # -- embeddings
