@@ -12,10 +12,11 @@ one block per source is left. There the landing problem (two units) is solved by
 chance, and one to three exchanges between units of that last block bring the word total back to its expectation.
 
 Rows that agree in (doc_id, source, size) are one unit with c copies, whose c * r expected entries are split the same way. Blocks,
-order and random numbers depend on these values alone, so reruns agree.
+order and random numbers depend on these values alone, so reruns agree. ``apply_mix`` hands a unit's entries to its rows in the order
+of hashes of all their columns: the same rows at any partitioning, and rows alike in all columns count as so many of one.
 
 Defined results: null or empty text: size 0, taken 0; null source: a source of its own, last; repeated rows: copies of a unit, ordered by
-nothing else; empty table: empty result; other columns are ignored by ``mix`` and kept by ``apply_mix``.
+nothing else; empty table: empty result; other columns, whatever their names, are ignored by ``mix`` and kept by ``apply_mix``.
 """
 
 from __future__ import annotations
@@ -26,15 +27,19 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save, small_batches, table
+from .common import MARKS, join_keyed, marked, save, small_batches, split_repeats, table
 
 BLOCK = 4096
 #: A table of at most so many sources is broadcast; beyond, only hot sources are.
 FEW_SOURCES = 20_000
 SHARE = (3, 2)  # 150 % of all words
+#: A row that stands for more rows than this is cut into parts of so many before they are spread over tasks and written out.
+PART = 10_000
+#: Distinct rows of one unit that a task ranks at once.
+RANKED = 4096
 _EPS = 1e-9
 
 
@@ -43,35 +48,38 @@ def words(column: str = "text"):
     return F.coalesce(F.regexp_count(F.col(column), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """``sources`` with ``rank`` in code-point order, null last: a global sort, then each partition's offset."""
-    ordered = save(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("__at", F.monotonically_increasing_id()), "sources")
-    part = F.shiftright("__at", 33)
-    sizes = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).count().collect()}  # a row per partition of the sort
-    offset, total = [], 0
-    for p in sorted(sizes):
-        offset += [F.lit(p), F.lit(total)]
-        total += sizes[p]
-    start = F.create_map(*offset)[part] if offset else F.lit(0)
-    return ordered.withColumn("rank", start + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` saved in a global order, with each of ``sums`` over all rows before a row: sums within the sort's partitions plus each
+    partition's offset, which is one row a partition on the driver."""
+    ordered = save(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__at", 33)), "ordered")
+    totals = {r[0]: r[1:] for r in ordered.groupBy("__p").agg(*[F.sum(c) for c in sums.values()]).collect()}
+    offsets, total = {}, [0] * len(sums)
+    for p in sorted(totals):
+        offsets[p] = list(total)
+        total = [x + y for x, y in zip(total, totals[p])]
+    before = Window.partitionBy("__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    for k, (name, c) in enumerate(sums.items()):
+        offset = F.create_map(*[F.lit(x) for p, v in offsets.items() for x in (p, v[k])])[F.col("__p")] if offsets else F.lit(0)
+        ordered = ordered.withColumn(name, F.coalesce(F.sum(c).over(before), F.lit(0)) + offset)
+    return ordered.drop("__at", "__p")
 
 
 def targets(units: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """(source, source_size, n, target) from (source, size, c): one row per source."""
+    """(source, source_size, n, target) from (source, size, c): one row per source.
+
+    A source is full when the water stands at 2 * size / weight. In the order of that height, the sums of all lower sources give the
+    level at which the budget is used up, in one pass for any number of sources.
+    """
     sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"), F.count("*").alias("n"))
-    ranked = save(_ranked(sums).withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))), "weights")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    while True:
-        capped = 2 * F.col("source_size") < F.col("w") * F.lit(level)
-        stopped, open_weight = ranked.agg(F.sum(F.when(capped, 2 * F.col("source_size")).otherwise(0)), F.sum(F.when(~capped, F.col("w")).otherwise(0))).first()
-        if not open_weight:
-            break
-        higher = (total * SHARE[0] / SHARE[1] - stopped) / open_weight
-        if higher <= level:
-            break
-        level = higher
-    return ranked.select("source", "source_size", "n", F.least(2.0 * F.col("source_size"), F.col("w") * F.lit(level)).alias("target"))
+    ranked = _running(sums, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weighed = ranked.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    weighed = weighed.withColumn("full", 2.0 * F.col("source_size") / F.col("w"))
+    filled = save(_running(weighed, [F.col("full"), F.col("rank")], {"stopped": 2 * F.col("source_size"), "closed": F.col("w")}), "weights")
+    total, weight = filled.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit((total or 0) * SHARE[0] / SHARE[1]) - F.col("stopped")) / (F.lit(weight or 0) - F.col("closed"))
+    water = filled.select("full", "rank", level.alias("level")).filter("level <= full").agg(F.min_by("level", F.struct("full", "rank"))).first()[0]
+    most = 2.0 * F.col("source_size")
+    return filled.select("source", "source_size", "n", (most if water is None else F.least(most, F.col("w") * F.lit(water))).alias("target"))
 
 
 def flight(pi: list[float], size: list[float], rng: random.Random) -> list[float]:
@@ -198,10 +206,29 @@ def cube(units: DataFrame, largest: int) -> DataFrame:
         level += 1
 
 
-def mix_units(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+def repeated(df: DataFrame, times: str, number: str, parts: bool) -> DataFrame:
+    """Each row of ``df`` ``times`` times, numbered from 1 by the new column ``number``. ``parts``: some rows stand for more than
+    PART; these are cut into parts, which go to tasks of their own."""
+
+    def spread(rows: DataFrame, name: str, first: Column, last: Column) -> DataFrame:
+        return rows.select("*", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias(name))
+
+    if not parts:
+        return spread(df.filter(F.col(times) > 0), number, F.lit(1), F.col(times))
+    few = spread(df.filter((F.col(times) > 0) & (F.col(times) <= PART)), number, F.lit(1), F.col(times))
+    cut = spread(df.filter(F.col(times) > PART), "__part", F.lit(0), F.floor((F.col(times) - 1) / PART)).repartition("__part", times)
+    many = spread(cut, number, F.col("__part") * PART + 1, F.least((F.col("__part") + 1) * PART, F.col(times)))
+    return few.unionByName(many.drop("__part"))
+
+
+def _units(sized: DataFrame) -> DataFrame:
+    """(doc_id, source, size, c), saved."""
+    return save(sized.groupBy("doc_id", "source", "size").agg(F.sum("m").alias("c")), "units")
+
+
+def mix_units(units: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """(doc_id, source, size, c, source_size, target, total): ``total`` entries for the c rows that agree in doc_id, source and size."""
-    small_batches(docs.sparkSession)
-    units = save(docs.select("doc_id", "source", words().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")), "units")
+    small_batches(units.sparkSession)
     by_source = save(targets(units, weights), "targets")
     n_sources, n_units = by_source.count(), units.count()
     if n_sources <= FEW_SOURCES:
@@ -222,24 +249,53 @@ def mix_units(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFram
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of ``docs`` (doc_id, source, text)."""
-    rows = mix_units(docs, weights).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    units = _units(docs.select("doc_id", "source", words().alias("size"), F.lit(1).cast("long").alias("m")))
+    mixed, parts = mix_units(units, weights), units.filter(F.col("c") > PART).limit(1).count() > 0
+    rows = repeated(save(mixed, "mixed-units") if parts else mixed, "c", "k", parts)
     copies = F.floor(F.col("total") / F.col("c")) + (F.col("k") <= F.col("total") % F.col("c")).cast("long")
     return rows.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+def shares(contents: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+    """(MARKS, m, times) from (doc_id, source, size, MARKS, m): how often the m rows with these marks are taken, together.
+
+    A unit's entries are dealt evenly to its rows and what is left goes to the first ones by their marks. Units with many distinct
+    rows are ranked in parts: sums of the parts before, then within the part.
+    """
+    unit = ["doc_id", "source", "size"]
+    key = [F.xxhash64(*[c.isNull().cast("int") for c in map(F.col, unit)], *unit).alias("u1"), F.xxhash64(F.lit("second"), *[c.isNull().cast("int") for c in map(F.col, unit)], *unit).alias("u2")]
+    contents = save(contents.select("*", *key), "contents")
+    units = save(contents.groupBy(*unit, "u1", "u2").agg(F.sum("m").alias("c"), F.count("*").alias("kinds")), "units")
+    totals = mix_units(units.select(*unit, "c"), weights).filter("total > 0").select(*key, "c", "total")
+    rows = contents.select("u1", "u2", *MARKS, "m").join(totals, ["u1", "u2"])
+    several = units.filter("kinds > 1").select("u1", "u2", "kinds")
+    if not several.limit(1).count():
+        return rows.select(*MARKS, "m", F.col("total").alias("times"))
+    rows = save(rows.join(several, ["u1", "u2"], "left"), "entries")
+    alone = rows.filter("kinds is null").select(*MARKS, "m", F.col("total").alias("times"))
+    parts = rows.filter("kinds is not null").withColumn("part", F.pmod("mark1", F.ceil(F.col("kinds") / RANKED)))
+    sums = parts.groupBy("u1", "u2", "part").agg(F.sum("m").alias("s"))
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("s").over(Window.partitionBy("u1", "u2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    within = F.coalesce(F.sum("m").over(Window.partitionBy("u1", "u2", "part").orderBy(*MARKS).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = parts.withColumn("within", within).join(sums, ["u1", "u2", "part"])
+    left = F.greatest(F.lit(0), F.least(F.col("m"), F.col("total") % F.col("c") - F.col("ahead") - F.col("within")))
+    return alone.unionByName(ranked.select(*MARKS, "m", (F.floor(F.col("total") / F.col("c")) * F.col("m") + left).cast("long").alias("times")).filter("times > 0"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, all columns kept. Rows without words are not taken.
 
-    Where rows agree in doc_id, source and size without dividing their entries evenly, a hash of the row decides which get one more.
+    The texts are read twice, once to count their words and once to write them out; between, only hashes of rows move. How often a
+    row is taken (24 bytes) is broadcast while no more than ``broadcast_rows`` rows are; beyond, the same join shuffles.
     """
-    unit = mix_units(docs, weights).select("doc_id", "source", "size", "c", "total").filter("total > 0")
-    keys = ["doc_id", "source", "size"]
-    named = unit.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("c").alias("__c"), F.col("total").alias("__total"))
-    sized = docs.withColumn("__n", words())
-    joined = sized.join(named, sized["doc_id"].eqNullSafe(named["__doc_id"]) & sized["source"].eqNullSafe(named["__source"]) & (sized["__n"] == named["__size"]))
-    share = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.col("__c"))
-    copies = F.when(F.col("__c") == 1, F.col("__total")).otherwise(F.floor(F.col("__total") / F.col("__c")) + (share < F.col("__total") % F.col("__c")).cast("long"))
-    return joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    sized = marked(docs, "doc_id", "source", words().alias("size")).drop("row")
+    contents = sized.groupBy("doc_id", "source", "size", *MARKS).agg(F.count("*").alias("m"))
+    taken = save(shares(contents, weights), "taken")
+    once, again = split_repeats(marked(docs), taken.filter("m > 1").select(*MARKS), broadcast_rows)
+    rows = once if again is None else once.unionByName(again)
+    taken = taken.select(*MARKS, "times")
+    joined = rows.join(F.broadcast(taken) if taken.count() <= broadcast_rows else taken, list(MARKS))
+    return repeated(joined, "times", "k", taken.filter(F.col("times") > PART).limit(1).count() > 0).select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
