@@ -37,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, each piece's span of source bytes, and whether decoding gives the text back."""
+    """Token ids, each piece's span of source bytes, and whether decoding gives the text back. A document that the mix repeats is
+    coded once: its repeats follow one another."""
     coded = sentencepieces.encode(docs, sentencepieces.default_model(), carry=("text",))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

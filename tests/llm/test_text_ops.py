@@ -115,9 +115,10 @@ def test_pieces_are_the_library_s(codec):
     flat, back = [], []
     for i, j in common.steps(offs, 4000):
         part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        ids, n, decoded = codec.encode(part, at)
-        flat += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
-        back += [(part[at[k] : at[k + 1]].tobytes() if d is None else d).decode() for k, d in enumerate(decoded)]
+        ids, n = codec.encode(part, at)
+        rows = np.split(ids, np.cumsum(n)[:-1])
+        flat += [x.tolist() for x in rows]
+        back += codec.decode(rows)
     assert flat == codec.lib.encode(texts) and back == codec.lib.decode(flat)
     for t, ids in zip(texts, flat):
         raw = t.encode()
@@ -144,6 +145,60 @@ def test_normalisation_by_a_compiled_map():
             assert len(where) == len(normal) + 1 and (np.diff(where) >= 0).all() and (where <= len(t.encode())).all()
 
 
+def test_long_texts_are_coded_and_decoded_in_slices(codec):
+    for t in noise(12, 60, list("ab   \n\té你.😀") + ["the ", " of", "   "]) + ["x" * 300, " " * 200, "▁ a b" * 50, ""]:
+        t = t * 5
+        buf, offs = buffers([t])
+        for step in (3, 17, 100):
+            ids, n = codec.encode(buf, offs, step)
+            assert ids.tolist() == codec.lib.encode(t) and n.tolist() == [len(ids)]
+            assert codec.decode([ids], step) == [codec.lib.decode(ids.tolist())]
+
+
+def test_spans_through_a_compiled_map(spark, tmp_path):
+    """A model whose file has a compiled character map: ids are the library's and every piece is projected to the bytes it came from."""
+    from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, rule = proto.ModelProto(), proto.ModelProto()
+    with open(sentencepieces.default_model(), "rb") as file:
+        model.ParseFromString(file.read())
+    r = random.Random(6)
+    texts = [None, "", " "] + ["".join(r.choice([*"ab  \n\t éﬁ①Ａ가각é.½ｶﾞ", "the ", " of"]) for _ in range(r.randint(0, 40))) for _ in range(150)]
+    for trim in (True, False):
+        rule.ParseFromString(SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, remove_extra_whitespaces=trim, escape_whitespaces=True).serialized_model_proto())
+        model.normalizer_spec.CopyFrom(rule.normalizer_spec)
+        path = tmp_path / f"mapped-{trim}.model"
+        path.write_bytes(model.SerializeToString())
+        assert len(sentencepieces.Codec(str(path)).normalize.map.units) and not sentencepieces.Codec(str(path)).spliced
+        lib = SentencePieceProcessor(model_file=str(path))
+        for x in sentencepieces.encode(frame(spark, texts), str(path)).collect():
+            t = texts[x["doc_id"]] or ""
+            raw, ids = t.encode(), lib.encode(t)
+            assert x["ids"] == ids and x["decoded"] == lib.decode(ids)
+            want = [(p.begin, p.end) for p in lib.encode(t, return_type="proto").pieces]
+            assert [(len(raw[:a].decode("utf-8", "ignore")), len(raw[:b].decode("utf-8", "ignore"))) for a, b in zip(x["begins"], x["ends"])] == want or [*zip(x["begins"], x["ends"])] == want
+
+
+def test_repeated_rows_are_coded_once(spark, monkeypatch):
+    texts = ["one text here"] * 3 + [None, "", "", "another one", "one text here", "one text here", "Xne text here"]
+    df = frame(spark, texts).coalesce(1)
+    lib = sentencepieces.Codec(sentencepieces.default_model()).lib
+    for x in sentencepieces.encode(df, sentencepieces.default_model(), carry=("text",)).collect():
+        assert x["ids"] == lib.encode(texts[x["doc_id"]] or "") and x["decoded"] == (texts[x["doc_id"]] or "") and x["text"] == texts[x["doc_id"]]
+
+
+def test_sentencepiece_query_against_the_library(spark):
+    lib = sentencepieces.Codec(sentencepieces.default_model()).lib
+    text = {r["doc_id"]: r["text"] or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    out = sentencepieces.op8_sentencepiece(spark, "/root/testdata/sf0.001")
+    assert out.dtypes[:4] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    for x in out.collect():
+        ids = lib.encode(text[x["doc_id"]])
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
+
+
 def test_encode_decode_rows(spark):
     model = sentencepieces.default_model()
     out = sentencepieces.encode(frame(spark, ODD), model)
