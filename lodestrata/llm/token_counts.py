@@ -2,8 +2,9 @@
 
 The library is asked only for pieces that it provably cuts the same way inside the whole text.
 
-* In texts of at most ``window`` characters: between a non-space and a white-space character the byte-level pre-tokenizer always ends a pre-token, whatever stands further
-  left, so texts are spliced at those boundaries and each distinct piece is encoded once per task (a bounded memo).
+* In texts of at most ``window`` characters: between a non-space and a white-space character the byte-level pre-tokenizer always
+  ends a pre-token, whatever stands further left, so texts are spliced at those boundaries and each distinct piece is encoded once
+  per task (a bounded memo).
 * Pieces of ASCII and Latin letters (whose classes no Unicode version disputes) go through tiktoken with ranks made from the same
   .json: where every merge yields the next id, a pair can only be joined at rank r when all lower merges inside its bytes are
   done, so joining "any pair that spells a token" and joining "listed pairs" take the same course. ``Counter`` checks that
@@ -11,13 +12,16 @@ The library is asked only for pieces that it provably cuts the same way inside t
 * A text that is longer than ``window`` characters, or has white space outside ASCII, is encoded in overlapping windows with
   offsets. Two neighbours are spliced at the first pre-token boundary that both show, far enough from
   the left window's end for look-ahead and special strings; from there both follow the same course, since matching runs left to
-  right and depends on the position alone. When no boundary agrees the overlap is doubled, up to the rest of the text.
+  right and depends on the position alone. When no boundary agrees the overlap is doubled, up to the rest of the text. Characters
+  are decoded as the windows reach them, so memory doesn't grow with a text. ``n_windows`` says how many windows a text took (0:
+  counted without), ``n_widened`` how often an overlap or a window had to grow.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows stay; an empty table stays empty; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -83,6 +87,28 @@ def rank_encoder(model: str):
     return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Characters:
+    """Slices of a UTF-8 buffer by characters, decoded as far as asked for; what lies before ``forget`` is let go."""
+
+    def __init__(self, buf: np.ndarray, step: int = 1 << 18):
+        self.buf, self.step, self.read, self.base, self.text = buf, step, 0, 0, ""
+        self.decoder = codecs.getincrementaldecoder("utf-8")()
+        self.length = sum(int(np.count_nonzero((buf[k : k + step] & 0xC0) != 0x80)) for k in range(0, len(buf), step))
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, at: slice) -> str:
+        while self.base + len(self.text) < at.stop and self.read < len(self.buf):
+            self.text += self.decoder.decode(self.buf[self.read : self.read + self.step].tobytes())
+            self.read += self.step
+        return self.text[at.start - self.base : at.stop - self.base]
+
+    def forget(self, before: int) -> None:
+        if before - self.base >= self.step:
+            self.text, self.base = self.text[before - self.base :], before
+
+
 class Counter:
     """Token counts of whole texts, exactly those of the library."""
 
@@ -99,12 +125,15 @@ class Counter:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.margin = 2 + max([len(t) for t in self.special], default=0)
 
-    def counts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Tokens of each row of a UTF-8 buffer."""
+    def counts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each row of a UTF-8 buffer; windows and widenings of each row."""
         n = len(offs) - 1
-        out = np.zeros(n, np.int64)
+        out, used = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
         if not len(buf):
-            return out
+            return out, used
+        if n == 1 and len(buf) > 4 * self.window:  # more than ``window`` characters, whatever they are
+            out[0], *used[0] = self.long(Characters(buf))
+            return out, used
         odd = np.flatnonzero(_ODD_BYTES[buf])
         odd = odd[_odd_space(buf, odd)]
         # A row's characters are its bytes but those that continue a character.
@@ -114,11 +143,11 @@ class Counter:
         end = np.append(start[1:], len(buf))
         if len(whole):
             for r in whole:
-                out[r] = self.long(buf[offs[r] : offs[r + 1]].tobytes().decode())
+                out[r], *used[r] = self.long(Characters(buf[offs[r] : offs[r + 1]]))
             keep = ~np.isin(row, whole)
             start, end, row = start[keep], end[keep], row[keep]
         if not len(start):
-            return out
+            return out, used
         hashes, index, inverse = distinct_spans(buf, start, end)
         if self.memo.full:
             self.memo.clear()
@@ -142,7 +171,7 @@ class Counter:
             texts = [buf[s[k] : e[k]].tobytes().decode() for k in others[at : at + 2048]]
             size[others[at : at + 2048]] = [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.memo.add(hashes[~known], size[~known, None])
-        return out + np.bincount(row, size[inverse], n).astype(np.int64)
+        return out + np.bincount(row, size[inverse], n).astype(np.int64), used
 
     @staticmethod
     def _cut(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +194,10 @@ class Counter:
                 last = word
         return starts + [len(text)], before + [len(e.ids)]
 
-    def long(self, text: str) -> int:
-        """The count by windows spliced at proven boundaries."""
+    def long(self, text: Characters) -> tuple[int, int, int]:
+        """The count by windows spliced at proven boundaries, the windows encoded, and how often one or its overlap was widened."""
         n, window = len(text), self.window
-        at, total, starts_at = 0, 0, 0  # the current window begins at `at`; what counts in it begins at `starts_at`
+        at, total, starts_at, windows, widened = 0, 0, 0, 1, 0  # the current window begins at `at`; what counts in it begins at `starts_at`
         end = min(n, window)
         starts, before = self._encode(text[at:end])
         while end < n:
@@ -176,10 +205,12 @@ class Counter:
             while True:
                 begin = max(starts_at + 1, end - overlap)
                 stop = min(n, max(end, begin) + window)
+                windows += 1
                 if begin >= end or overlap >= end - at:
                     stop = min(n, at + 2 * (end - at))  # no agreement in this window: widen it as a whole
                     starts, before = self._encode(text[at:stop])
                     end = stop
+                    widened += 1
                     break
                 s2, b2 = self._encode(text[begin:stop])
                 right = {s + begin: b for s, b in zip(s2[:-1], b2)}
@@ -187,12 +218,14 @@ class Counter:
                 common = next(((s + at, b) for s, b in zip(starts[:-2], before) if begin < s + at <= safe and s + at in right), None)
                 if common is None:
                     overlap *= 2
+                    widened += 1
                     continue
                 position, left = common
                 total += left - self._before(starts, before, starts_at - at)
                 at, starts_at, end, starts, before = begin, position, stop, s2, b2
+                text.forget(at)
                 break
-        return total + before[-1] - self._before(starts, before, starts_at - at)
+        return total + before[-1] - self._before(starts, before, starts_at - at), windows, widened
 
     @staticmethod
     def _before(starts: list[int], before: list[int], position: int) -> int:
@@ -206,16 +239,19 @@ def counter(model: str, window: int) -> Counter:
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 512, window: int = 1 << 15) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each row; ``model`` is a tokenizers .json with a byte-level pre-tokenizer."""
+    """(doc_id, n_bytes, n_tokens, over_limit, n_windows, n_widened) for each row; ``model`` is a tokenizers .json with a byte-level
+    pre-tokenizer."""
 
     def kernel(batch: pa.RecordBatch, counter: Counter) -> Iterator[pa.RecordBatch]:
         buf, offs = utf8(batch.column(1))
         for i, j in steps(offs, 2 << 20):
-            n = counter.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs[i : j + 1])), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n, used = counter.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            columns = [batch.column(0).slice(i, j - i), *map(pa.array, (np.diff(offs[i : j + 1]), n, n > limit, used[:, 0], used[:, 1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_windows", "n_widened"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), kernel, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", lambda: counter(model, window))
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, n_windows long, n_widened long"
+    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), kernel, schema, lambda: counter(model, window))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

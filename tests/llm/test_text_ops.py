@@ -72,17 +72,22 @@ def noise(seed, n, alphabet):
 def test_token_counts_are_the_library_s(counter, alphabet):
     texts = [t or "" for t in ODD] + noise(1, 1500, alphabet)
     buf, offs = buffers(texts)
-    got = [x for i, j in common.steps(offs, 5000) for x in counter.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
+    got = [x for i, j in common.steps(offs, 5000) for x in counter.counts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0]]
     assert got == plain_counts(counter, texts)
-    assert [counter.long(t) for t in texts if t] == plain_counts(counter, [t for t in texts if t])
+    for step in (5, 1 << 18):
+        found = [counter.long(token_counts.Characters(buffers([t])[0], step)) for t in texts if t]
+        assert [n for n, _, _ in found] == plain_counts(counter, [t for t in texts if t])
+        assert max(w for _, w, _ in found) > 3 and max(x for _, _, x in found) > 0
 
 
 def test_texts_longer_than_the_window_go_through_windows(counter, monkeypatch):
     seen, long = [], counter.long
-    monkeypatch.setattr(counter, "long", lambda t: seen.append(t) or long(t))
+    monkeypatch.setattr(counter, "long", lambda t: seen.append(t.buf.tobytes().decode()) or long(t))
     texts = ["plain words with spaces " * 40, "x" * 64, "é" * 64, "é " * 33, "short one"]
-    assert counter.counts(*buffers(texts)).tolist() == plain_counts(counter, texts)
-    assert seen == [texts[0], texts[3]]
+    n, used = counter.counts(*buffers(texts))
+    assert n.tolist() == plain_counts(counter, texts)
+    assert seen == [texts[0], texts[3]] and used[0, 0] > 10 and (used[[1, 2, 4]] == 0).all()
+    assert counter.counts(*buffers(texts[:1]))[0].tolist() == plain_counts(counter, texts[:1])
 
 
 def test_vocabulary_meets_the_premise(counter):
@@ -101,6 +106,17 @@ def test_token_count_query_rows(spark):
     assert token_counts.token_counts(df.limit(0), token_counts.default_model()).count() == 0
 
 
+def test_token_count_query_against_the_library(spark):
+    library = token_counts.Counter(token_counts.default_model())
+    text = {r["doc_id"]: r["text"] or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    out = token_counts.op4_token_counts(spark, "/root/testdata/sf0.001")
+    assert out.dtypes[:4] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")]
+    for x in out.collect():
+        t = text[x["doc_id"]]
+        n = len(library.tokenizer.encode(t, add_special_tokens=False))
+        assert (x["n_bytes"], x["n_tokens"], x["over_limit"]) == (len(t.encode()), n, n > 512) and (x["n_windows"] > 0) >= (len(t) > 1 << 15)
+
+
 # -- sentencepiece
 
 
