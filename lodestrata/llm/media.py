@@ -1,8 +1,10 @@
 """Media columns: byte payloads as greyscale images.
 
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, become a 64-pixel-wide 8-bit image. It is stored as binary
-Netpbm (P5) or BMP, decoded back to a numpy array, area-resized by integral images, cut into NPY tiles and summarised by a
-difference hash. All of it is one narrow pass: no shuffle, nothing kept between rows.
+Netpbm (P5) or, from BMP_ROWS rows on, as BMP, and decoded back to a numpy array. The array is written as NPY tiles, each with the
+difference hash of its own area resize, and area-resized by an integral image to a small NPY tile and to the cells of the image's
+hash. All of it is one narrow pass: no shuffle, nothing kept between rows. Of an integral image only the rows at cell edges are
+kept where the image is tall, so memory stays within a few times a text's size.
 
 Defined results: null text is the empty text (one row of zeros); equal texts give equal values; repeated rows stay repeated;
 an empty table gives an empty table; other columns are ignored.
@@ -14,15 +16,20 @@ import hashlib
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table
+from .common import map_batches, table, utf8
 
 WIDTH = 64
+#: Images of so many rows or more are stored as BMP, if the form is left open.
+BMP_ROWS = 64
+#: Rows of an image that are summed at once.
+BAND = 1 << 14
 
 
 def payload(text: bytes) -> bytes:
@@ -92,102 +99,192 @@ def decode_bmp(blob: bytes) -> np.ndarray:
     return shown[:, :, 0] if (palette[:, :1] == palette).all() else shown
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area, fractions included, by one integral image. Float64."""
-    h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, 0, dtype=np.float64), 1, out=total[1:, 1:])
+class Integral:
+    """The integral image of (..., height, width) arrays, by rows: all of them, or for tall images those that are asked for."""
+
+    def __init__(self, image: np.ndarray):
+        self.image, (self.height, self.width) = image, image.shape[-2:]
+        self.whole = self._wide(np.cumsum(image, -2, dtype=np.int64)) if self.height <= BAND or image.ndim > 2 else None
+
+    @staticmethod
+    def _wide(columns: np.ndarray) -> np.ndarray:
+        """Sums over all columns to the left, from sums over all rows above, with an empty row and column first."""
+        total = np.zeros((*columns.shape[:-2], columns.shape[-2] + 1, columns.shape[-1] + 1))
+        np.cumsum(columns, -1, out=total[..., 1:, 1:])
+        return total
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The sums above the rows ``at`` (ascending)."""
+        if self.whole is not None:
+            return self.whole[..., at, :]
+        out, base = np.zeros((len(at), self.width), np.int64), np.zeros(self.width, np.int64)
+        for low in range(0, self.height, BAND):
+            sums = np.cumsum(self.image[low : low + BAND], 0, dtype=np.int64)
+            mine = np.flatnonzero((at > low) & (at <= low + len(sums)))
+            out[mine] = base + sums[at[mine] - low - 1]
+            base = base + sums[-1]
+        return self._wide(out)[1:]
+
+    def resize(self, height: int, width: int) -> np.ndarray:
+        """Mean over each target cell's exact area, fractions included. Float64."""
+
+        def edges(axis_len: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+            edge = np.arange(cells + 1) * (axis_len / cells)
+            low = np.minimum(edge.astype(np.int64), axis_len - 1)
+            return low, edge - low
+
+        y, fy = edges(self.height, height)
+        x, fx = edges(self.width, width)
+        rows = self.rows(y) * (1 - fy)[:, None] + self.rows(y + 1) * fy[:, None]
+        grid = rows[..., x] * (1 - fx) + rows[..., x + 1] * fx
+        cells = grid[..., 1:, 1:] - grid[..., :-1, 1:] - grid[..., 1:, :-1] + grid[..., :-1, :-1]
+        return cells / ((self.height / height) * (self.width / width))
+
+    def hashes(self) -> np.ndarray:
+        """(..., 8) bytes: is a cell brighter than its left neighbour, in an 8 x 9 area resize (to 1e-9)."""
+        small = np.round(self.resize(8, 9), 9)
+        return np.packbits((small[..., 1:] > small[..., :-1]).reshape(*small.shape[:-2], 64), axis=-1)
 
-    def at(axis_len: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.arange(cells + 1) * (axis_len / cells)
-        low = np.minimum(edge.astype(np.int64), axis_len - 1)
-        return low, edge - low
 
-    y, fy = at(h, height)
-    x, fx = at(w, width)
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
-    grid = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
-    cells = grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]
-    return cells / ((h / height) * (w / width))
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return Integral(image).resize(height, width)
 
 
 def difference_hash(image: np.ndarray) -> str:
-    """64 bits as 16 hex digits: is a cell brighter than its left neighbour, in an 8 x 9 area resize (to 1e-9)."""
-    small = np.round(area_resize(image, 8, 9), 9)
-    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+    """64 bits as 16 hex digits."""
+    return Integral(image).hashes().tobytes().hex()
+
+
+@lru_cache(4096)
+def _header(shape: tuple[int, ...], kind: str) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": kind, "fortran_order": False, "shape": shape})
+    return out.getvalue()
+
+
+def to_npy(array: np.ndarray) -> bytes:
+    """An NPY file (version 1.0), as np.save writes it."""
+    return _header(array.shape, array.dtype.str) + np.ascontiguousarray(array).tobytes()
+
+
+@lru_cache(4096)
+def _shape(header: bytes) -> tuple[tuple[int, ...], np.dtype]:
+    stream = io.BytesIO(header)
+    np.lib.format.read_magic(stream)
+    shape, order, kind = np.lib.format.read_array_header_1_0(stream)
+    if order or kind.hasobject:
+        raise ValueError("only plain arrays in C order")
+    return shape, kind
+
+
+def from_npy(blob: bytes | memoryview) -> np.ndarray:
+    """The array of an NPY file (version 1.0)."""
+    at = 10 + int.from_bytes(bytes(blob[8:10]), "little")
+    shape, kind = _shape(bytes(blob[:at]))
+    return np.frombuffer(blob, kind, offset=at).reshape(shape)
 
 
 def npy_tiles(image: np.ndarray, side: int = 64) -> Iterator[tuple[int, int, bytes]]:
     """(row, column, NPY file) of each tile; edge tiles are smaller."""
     for r in range(0, image.shape[0], side):
         for c in range(0, image.shape[1], side):
-            out = io.BytesIO()
-            np.save(out, np.ascontiguousarray(image[r : r + side, c : c + side]), allow_pickle=False)
-            yield r // side, c // side, out.getvalue()
+            yield r // side, c // side, to_npy(image[r : r + side, c : c + side])
 
 
-def read_tiles(tiles: list[tuple[int, int, bytes]]) -> np.ndarray:
+def tile_hashes(image: np.ndarray, whole: Integral, side: int = 64) -> list[str]:
+    """The difference hash of each of ``npy_tiles``, in its order."""
+    height, width = image.shape
+    if height <= side and width <= side:
+        return [whole.hashes().tobytes().hex()]
+    if width != side:
+        return [difference_hash(image[r : r + side, c : c + side]) for r in range(0, height, side) for c in range(0, width, side)]
+    full, found = height // side, []
+    for k in range(0, full, 256):  # whole tiles of a column, many at a time
+        found += [x.tobytes().hex() for x in Integral(image[k * side : min(full, k + 256) * side].reshape(-1, side, side)).hashes()]
+    return found + ([difference_hash(image[full * side :])] if height % side else [])
+
+
+def read_tiles(tiles: list[tuple[int, int, bytes | memoryview]]) -> np.ndarray:
     """The image again."""
     rows: dict[int, list] = {}
-    for r, c, blob in sorted(tiles):
-        rows.setdefault(r, []).append(np.load(io.BytesIO(blob), allow_pickle=False))
+    for r, _, blob in sorted(tiles, key=lambda x: x[:2]):
+        rows.setdefault(r, []).append(from_npy(blob))
     return np.concatenate([np.concatenate(rows[r], 1) for r in sorted(rows)], 0)
 
 
-def media_columns(docs: DataFrame, form: str = "pgm", tiles: bool = False, thumb: int = 16) -> DataFrame:
-    """(doc_id, n_bytes, media, feature, thumb[, tiles]) of ``docs``' doc_id and text.
+_TILES = "array<struct<row:int,col:int,npy:binary,hash:string>>"
+
+
+def media_columns(docs: DataFrame, form: str = "auto", thumb: int = 16, then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, form, media, feature, thumb, tiles) of ``docs``' doc_id and text.
 
-    ``media`` is the stored form ("pgm" or "bmp"); ``thumb`` a thumb x thumb NPY tile of the area-resized image; ``feature`` its
-    difference hash; ``tiles`` the full image as NPY tiles, if asked for.
+    ``media`` is the stored form ("pgm" or "bmp"; "auto": by the image's height); ``feature`` the difference hash of the decoded
+    image; ``thumb`` a thumb x thumb NPY tile of its area resize; ``tiles`` the whole image as NPY tiles with a difference hash each.
+    ``then`` (a function of the output batches and its schema) goes on in the same worker.
     """
-    if form not in ("pgm", "bmp"):
-        raise ValueError("form: pgm or bmp")
+    if form not in ("auto", "pgm", "bmp"):
+        raise ValueError("form: auto, pgm or bmp")
+
+    def row(raw: bytes) -> tuple:
+        data = payload(raw)
+        if form == "bmp" or form == "auto" and len(data) >= BMP_ROWS * WIDTH:
+            kind, blob = "bmp", encode_bmp(np.frombuffer(data, np.uint8).reshape(-1, WIDTH))
+        else:
+            kind, blob = "pgm", encode_pgm(data)
+        image = decode_bmp(blob) if kind == "bmp" else decode_netpbm(blob)
+        whole = Integral(image)
+        hashes = tile_hashes(image, whole)
+        feature = hashes[0] if len(hashes) == 1 else whole.hashes().tobytes().hex()
+        return len(raw), kind, blob, feature, to_npy(np.round(whole.resize(thumb, thumb), 6).astype(np.float32)), list(npy_tiles(image)), hashes
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts = batch.column(0), batch.column(1)
+        buf, offs = utf8(batch.column(1))
         at, gathered, held = 0, [], 0
-        for k, text in enumerate(texts):
-            raw = (text.as_py() or "").encode()
-            data = payload(raw)
-            blob = encode_pgm(data) if form == "pgm" else encode_bmp(np.frombuffer(data, np.uint8).reshape(-1, WIDTH))
-            image = decode_netpbm(blob) if form == "pgm" else decode_bmp(blob)
-            small = io.BytesIO()
-            np.save(small, np.round(area_resize(image, thumb, thumb), 6).astype(np.float32), allow_pickle=False)
-            gathered.append((len(raw), blob, difference_hash(image), small.getvalue(), [{"row": r, "col": c, "npy": t} for r, c, t in npy_tiles(image)] if tiles else None))
-            held += len(blob) * (2 if tiles else 1)
-            if held > 4 << 20 or k == len(texts) - 1:
-                n, b, f, s, t = zip(*gathered)
-                columns = [ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(b, pa.binary()), pa.array(f, pa.string()), pa.array(s, pa.binary())]
-                names = ["doc_id", "n_bytes", "media", "feature", "thumb"]
-                if tiles:
-                    columns.append(pa.array(t, pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("npy", pa.binary())]))))
-                    names.append("tiles")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for k in range(batch.num_rows):
+            gathered.append(row(buf[offs[k] : offs[k + 1]].tobytes()))
+            held += 2 * len(gathered[-1][2])
+            if held > 4 << 20 or k == batch.num_rows - 1:
+                n, kinds, blobs, features, thumbs, tiles, hashes = zip(*gathered)
+                flat = [t for x in tiles for t in x]
+                parts = [pa.array([t[0] for t in flat], pa.int32()), pa.array([t[1] for t in flat], pa.int32()), pa.array([t[2] for t in flat], pa.binary()), pa.array([h for x in hashes for h in x], pa.string())]
+                bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in tiles])]), pa.int32())
+                listed = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(parts, ["row", "col", "npy", "hash"]))
+                columns = [batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(kinds), pa.array(blobs, pa.binary()), pa.array(features), pa.array(thumbs, pa.binary()), listed]
+                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "form", "media", "feature", "thumb", "tiles"])
                 at, gathered, held = k + 1, [], 0
+                yield then[0](out) if then else out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, media binary, feature string, thumb binary" + (", tiles array<struct<row:int,col:int,npy:binary>>" if tiles else "")
-    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), kernel, schema)
-
-
-def digests(media: DataFrame) -> DataFrame:
-    """What reading the stored bytes back gives: payload size and digests, those of the stored form, and the feature."""
-
-    def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for cell in batch.column("media"):
-            blob = cell.as_py()
-            data = (decode_netpbm(blob) if blob[:1] == b"P" else decode_bmp(blob)).tobytes()
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(blob), hashlib.sha256(blob).hexdigest()))
-        columns = [batch.column("doc_id"), batch.column("n_bytes")]
-        for values, kind in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())):
-            columns.append(pa.array(values, kind))
-        columns.append(batch.column("feature"))
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return map_batches(media.select("doc_id", "n_bytes", "media", "feature"), kernel, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = f"n_bytes long, form string, media binary, feature string, thumb binary, tiles {_TILES}"
+    return map_batches(docs.select("doc_id", docs["text"].cast("string").alias("text")), kernel, f"doc_id {kind}, {then[1] if then else schema}")
+
+
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, form string, n_tiles long, tiles_sha256 string, thumb_sha256 string"
+
+
+def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What reading the stored bytes of a batch of ``media_columns`` back gives: the payload's size and digests, those of the stored
+    form, of all NPY tiles with their hashes, and of the small tile. Tiles that don't make up the decoded image are an error."""
+    tiles, rows = batch.column("tiles"), []
+    parts, bounds = tiles.flatten(), tiles.offsets.to_numpy() - tiles.offsets[0].as_py()
+    places = [parts.field(k).to_pylist() for k in (0, 1, 3)]
+    files = parts.field(2)
+    for k, (cell, small) in enumerate(zip(batch.column("media"), batch.column("thumb"))):
+        blob = cell.as_buffer()
+        image = decode_netpbm(blob.to_pybytes()) if blob[0] == 80 else decode_bmp(blob.to_pybytes())
+        data, state = np.ascontiguousarray(image), hashlib.sha256()
+        mine = [(places[0][t], places[1][t], memoryview(files[t].as_buffer())) for t in range(bounds[k], bounds[k + 1])]
+        if not np.array_equal(read_tiles(mine), image):
+            raise ValueError("the tiles differ from the image")
+        for t, (_, _, file) in zip(range(bounds[k], bounds[k + 1]), mine):
+            state.update(file)
+            state.update(places[2][t].encode())
+        rows.append((data.size, hashlib.sha256(data).hexdigest(), zlib.crc32(data.reshape(-1)[-WIDTH:].tobytes()), len(blob), hashlib.sha256(blob).hexdigest(), len(mine), state.hexdigest(), hashlib.sha256(small.as_buffer()).hexdigest()))
+    size, sha, crc, n, stored, count, cut, small = zip(*rows)
+    long = lambda x: pa.array(x, pa.int64())
+    columns = [batch.column("doc_id"), batch.column("n_bytes"), long(size), pa.array(sha), long(crc), long(n), pa.array(stored), batch.column("feature"), batch.column("form"), long(count), pa.array(cut), pa.array(small)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", *[x.split()[0] for x in DIGESTS.split(", ")]])
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(media_columns(table(spark, sf_dir, "documents")))
+    return media_columns(table(spark, sf_dir, "documents"), then=(digest, DIGESTS))

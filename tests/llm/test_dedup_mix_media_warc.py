@@ -357,24 +357,55 @@ def test_waterfill():
 # -- media
 
 
-def test_media_round_trip(spark):
-    for form in ("pgm", "bmp"):
-        df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(ODD)], "doc_id long, text string, media string")
-        stored = media.media_columns(df, form, tiles=True)
-        rows = {r["doc_id"]: r for r in media.digests(stored).collect()}
-        for r in stored.collect():
-            raw = (ODD[r["doc_id"]] or "").encode()
-            padded = raw + bytes(-len(raw) % 64 if raw else 64)
-            d = rows[r["doc_id"]]
-            image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
-            assert (media.read_tiles([(t["row"], t["col"], bytes(t["npy"])) for t in r["tiles"]]) == image).all()
-            assert np.load(io.BytesIO(r["thumb"])).shape == (16, 16)
-            assert (d["n_bytes"], d["payload_bytes"], d["payload_sha256"], d["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-            assert (d["media_bytes"], d["media_sha256"], d["feature"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest(), media.difference_hash(image))
-        assert rows[11]["feature"] == rows[12]["feature"]
+def slow_resize(image, height, width):
+    h, w = image.shape
+    fine = np.kron(image, np.ones((height, width)))
+    return fine.reshape(height, h, width, w).mean((1, 3))
+
+
+def slow_hash(image):
+    small = np.round(slow_resize(image, 8, 9), 9)
+    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+
+
+@pytest.mark.parametrize("form", ["auto", "pgm", "bmp"])
+def test_media_round_trip(spark, monkeypatch, form):
+    texts = [*ODD, "Ä long one " * 900]
+    df = spark.createDataFrame([(k, t, "clash", "x") for k, t in enumerate(texts)], "doc_id long, text string, media string, tiles string")
+    monkeypatch.setattr(media, "BAND", 20)  # the tall ones go in bands
+    rows = {r["doc_id"]: r for r in media.media_columns(df, form, then=(media.digest, media.DIGESTS)).collect()}
+    assert len(rows) == len(texts)
+    for r in media.media_columns(df, form).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        d = rows[r["doc_id"]]
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        assert r["form"] == d["form"] == ("bmp" if form == "bmp" or form == "auto" and len(image) >= 64 else "pgm")
+        assert (media.decode_bmp if r["form"] == "bmp" else media.decode_netpbm)(bytes(r["media"])).tobytes() == padded
+        loaded = [np.load(io.BytesIO(t["npy"]), allow_pickle=False) for t in r["tiles"]]
+        assert (np.concatenate(loaded) == image).all() and [t["row"] for t in r["tiles"]] == list(range(len(loaded))) and all(len(t) <= 64 for t in loaded)
+        assert [t["hash"] for t in r["tiles"]] == [slow_hash(t) for t in loaded] and r["feature"] == slow_hash(image)
+        assert np.allclose(np.load(io.BytesIO(r["thumb"])), slow_resize(image, 16, 16), atol=1e-4)
+        assert (d["n_bytes"], d["payload_bytes"], d["payload_sha256"], d["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (d["media_bytes"], d["media_sha256"], d["feature"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest(), r["feature"])
+        cut = b"".join(bytes(t["npy"]) + t["hash"].encode() for t in r["tiles"])
+        assert (d["n_tiles"], d["tiles_sha256"], d["thumb_sha256"]) == (len(loaded), hashlib.sha256(cut).hexdigest(), hashlib.sha256(r["thumb"]).hexdigest())
+    assert rows[11]["tiles_sha256"] == rows[12]["tiles_sha256"]
     assert media.media_columns(df.limit(0)).count() == 0
 
 
+def test_media_query(spark):
+    text = {r["doc_id"]: r["text"] for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    out = media.op10_media_columns(spark, "/root/testdata/sf0.001")
+    kinds = ["bigint", "bigint", "bigint", "string", "bigint", "bigint", "string", "string"]
+    assert out.dtypes[:8] == list(zip(["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], kinds))
+    rows = out.collect()
+    assert len(rows) == len(text) and {x["form"] for x in rows} == {"pgm", "bmp"}
+    for x in rows:
+        data = media.payload((text[x["doc_id"]] or "").encode())
+        assert (x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+
+
 def test_decoders():
     gray = np.arange(15, dtype=np.uint8).reshape(3, 5)
     assert (media.decode_bmp(media.encode_bmp(gray)) == gray).all()
