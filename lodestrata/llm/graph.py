@@ -1,8 +1,9 @@
 """Links inside buckets and connected components, without emitting the pairs of a group.
 
-``link_buckets`` takes rows already assigned to buckets. A bucket of more than BLOCK rows is cut into blocks by a hash of the node,
-and each pair of blocks becomes a task group of its own, so the work of a hot bucket spreads over the cluster while every pair is
-still compared exactly once. A group yields one partial count per node and the edges of a spanning forest, never its pairs.
+``bucket_groups`` takes rows already assigned to buckets. A bucket of more than ``block`` rows is cut into blocks by a hash of the
+node, and each pair of blocks becomes a task group of its own, so the work of a hot bucket spreads over the cluster while every pair
+is still compared exactly once. ``link_buckets`` are such groups that yield one partial count per node and the edges of a spanning
+forest, never their pairs.
 """
 
 from __future__ import annotations
@@ -96,20 +97,41 @@ def _with_roots(labels: DataFrame) -> DataFrame:
     return labels.union(labels.select("component", "component").distinct())
 
 
+Kernel = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
+LINKS = "kind int, a long, b long, n long"
+
+
+def link_batches(node: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """LINKS of some groups: their nodes' counts, and a forest of their edges (a, b)."""
+    if len(node):
+        node, back = np.unique(node, return_inverse=True)
+        count = np.bincount(back, count).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(node), np.int32)), pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(count)], ["kind", "a", "b", "n"])
+    if len(a):
+        x, y = forest(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], ["kind", "a", "b", "n"])
+
+
 def link_buckets(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple], extra: list[str]) -> DataFrame:
-    """(kind, a, b, n): kind 0 gives node ``a`` ``n`` more links, kind 1 is an edge of a spanning forest.
+    """(kind, a, b, n): kind 0 gives node ``a`` ``n`` more links, kind 1 is an edge of a spanning forest. ``kernel`` returns (nodes,
+    counts, edges a, edges b); see ``bucket_groups``."""
+    return bucket_groups(rows, lambda cols, first, end: link_batches(*kernel(cols, first, end)), extra, LINKS, BLOCK)
+
+
+def bucket_groups(rows: DataFrame, kernel: Kernel, extra: list[str], schema: str, block: int) -> DataFrame:
+    """What ``kernel`` yields for the groups of ``rows``.
 
-    ``rows``: bucket (long), node (long), and the ``extra`` columns (long, or array columns of one length). ``kernel`` gets numpy
-    columns and the bounds (first row, end, and for a pair of blocks where the second begins) of some groups and returns
-    (nodes, counts, edges a, edges b).
+    ``rows``: bucket (long), node (long), and the ``extra`` columns (long, binary, or array columns of one length). ``kernel`` gets
+    numpy columns, among them i, j and own (a group with i = j is one block, any other the pair of its rows with own = i and with
+    own = j), and the first row and end of some groups of more than one row.
     """
     small_batches(rows.sparkSession)
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > block)
     hot = save(sizes, "hot-buckets")
     n_hot = hot.count()
     if n_hot:
         sized = rows.join(F.broadcast(hot), "bucket", "left") if n_hot <= 50_000 else join_keyed(rows, hot, "bucket", counts=hot.select("bucket", F.col("size").alias("n")))
-        placed = sized.withColumn("nb", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size")
+        placed = sized.withColumn("nb", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")).drop("size")
         own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
         placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *extra)
@@ -136,15 +158,7 @@ def link_buckets(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.nd
             real = end - first > 1
             if not real.any():
                 return
-            node, count, a, b = kernel(cols, first[real], end[real])
-            if len(node):
-                node, back = np.unique(node, return_inverse=True)
-                count = np.bincount(back, count).astype(np.int64)
-                empty = pa.nulls(len(node), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(node), np.int32)), pa.array(node), empty, pa.array(count)], ["kind", "a", "b", "n"])
-            if len(a):
-                x, y = forest(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], ["kind", "a", "b", "n"])
+            yield from kernel(cols, first[real], end[real])
 
         for batch in batches:
             if not batch.num_rows:
@@ -168,7 +182,7 @@ def link_buckets(rows: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.nd
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return placed.mapInArrow(run, "kind int, a long, b long, n long")
+    return placed.mapInArrow(run, schema)
 
 
 def group_links(linked: np.ndarray, rows_a: np.ndarray, rows_b: np.ndarray, weight: np.ndarray, square: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

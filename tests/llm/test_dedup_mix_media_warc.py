@@ -219,9 +219,10 @@ def check_links(spark, rows, kind="float"):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in out) == sorted((str(i), k, str(c), i == c) for (i, _), k, c in zip(rows, n, comp))
 
 
-@pytest.mark.parametrize("kind,block", [("float", 1024), ("double", 8)])
-def test_cosine_links(spark, monkeypatch, kind, block):
-    monkeypatch.setattr(graph, "BLOCK", block)
+@pytest.mark.parametrize("kind,block,fill", [("float", 4096, 1 << 19), ("double", 8, 32)])
+def test_cosine_links(spark, monkeypatch, kind, block, fill):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "FILL", fill)
     rng = np.random.default_rng(7)
     centers = rng.normal(size=(12, 24))
     rows = [(k, (centers[k % 12] + rng.normal(size=24) * rng.choice([0.05, 0.35])).tolist()) for k in range(120)]
@@ -229,20 +230,52 @@ def test_cosine_links(spark, monkeypatch, kind, block):
     check_links(spark, rows, kind)
 
 
+def test_norms_neither_overflow_nor_vanish(spark):
+    rows = [(1, [1e-180, 2e-180]), (2, [1e-180, 2e-180]), (3, [1e200, 2e200]), (4, [1.0, 2.0]), (5, [5e-324, 0.0]), (6, [1.0, 0.0]), (7, [-1e300, 0.0])]
+    out = embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_sketches_do_not_depend_on_company():
+    v = np.random.default_rng(1).normal(size=(500, 64)).astype(np.float32).astype(float)
+    whole = embeddings.sketches(v)
+    assert (np.concatenate([embeddings.sketches(v[k : k + 7]) for k in range(0, 500, 7)]) == whole).all() and (embeddings.sketches(v * 2.0**40) == whole).all()
+
+
+@pytest.mark.parametrize("n", [100, 51_282, 10**6, 10**8, 10**10])
+def test_plan_at_any_size(n):
+    """Recall by the plan's own chances at the threshold, and what is shuffled a vector (at most 88 bytes a table)."""
+    p, same = embeddings.plan(n, 0.9), 1 - math.acos(0.9) / math.pi
+    found = (1 - (1 - same**p.bits) ** p.tables) * (1 - (1 - same**p.inner_bits) ** p.inner)
+    assert found >= 0.975 and n / 2**p.bits <= 2 * embeddings.FILL and n / 2 ** (p.bits + p.inner_bits) <= 32
+    assert p.tables <= (14 if n <= 10**8 else 45)
+
+
+def test_candidates_are_each_pair_once(monkeypatch):
+    monkeypatch.setattr(embeddings, "STEP", 50)
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 2**63, (40, 3), dtype=np.uint64)
+    sketch = np.concatenate([sketch, sketch[:20] ^ np.uint64(5), sketch[:10], sketch[:1].repeat(15, 0)])
+    inner = embeddings.choices(3, 5, 1, False)
+    mask = embeddings.masks(inner)
+    got = [(int(x), int(y)) for a, b, _ in embeddings.candidates(sketch, inner, 12) for x, y in zip(a, b)]
+    want = [(x, y) for x in range(len(sketch)) for y in range(x + 1, len(sketch)) for d in [sketch[x] ^ sketch[y]] if np.bitwise_count(d).sum() <= 12 and any(not (d & m).any() for m in mask)]
+    assert sorted(got) == want
+
+
 def test_recall_at_the_threshold(spark):
-    """Pairs exactly at the threshold are found as often as planned; nothing below it is linked."""
+    """Among 51 000 vectors, pairs just above the threshold are found as often as planned; nothing below it is linked."""
     rng = np.random.default_rng(2)
-    a = rng.normal(size=(400, 64))
+    a = rng.normal(size=(17_000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    o = rng.normal(size=(400, 64))
+    o = rng.normal(size=a.shape)
     o -= (o * a).sum(1, keepdims=True) * a
     o /= np.linalg.norm(o, axis=1, keepdims=True)
     b, far = 0.901 * a + math.sqrt(1 - 0.901**2) * o, 0.895 * a + math.sqrt(1 - 0.895**2) * o
-    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b, -far]))]
-    out = {r["vec_id"]: r["n_links"] for r in embeddings.cosine_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert sum(out[k] for k in range(400)) >= 0.93 * 400 and all(out[k] == 0 for k in range(800, 1200))
-    bits, tables = embeddings.plan(10**9, 0.9)
-    assert bits == 20 and 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.97
+    vectors = np.concatenate([a, b, -far])
+    table = pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.FixedSizeListArray.from_arrays(vectors.ravel(), 64).cast(pa.list_(pa.float64()))})
+    out = {r["vec_id"]: r["n_links"] for r in embeddings.cosine_links(spark.createDataFrame(table).repartition(4)).collect()}
+    assert sum(out[k] for k in range(17_000)) >= 0.96 * 17_000 and all(out[k] == 0 for k in range(34_000, 51_000))
     assert embeddings.cosine_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
