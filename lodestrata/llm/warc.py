@@ -12,8 +12,10 @@ Payloads are compressed before anything else happens and only the records of rev
 
 Defined results: null html is the empty payload; null url leaves the header out; null page_id is a page of its own (and sorts
 last); of rows with equal page_id and payload one is the response and the others revisit it; an empty table gives no files and an
-empty result; other columns are ignored. A record whose segments are missing, doubled or of a wrong total length has a null payload and
-says so in ``problem``.
+empty result; other columns are ignored. A record whose segments are missing, doubled or of a wrong total length, or whose framing is
+broken, has a null payload and says so in ``problem``. Bytes that are no record (a file cut short, a damaged gzip member, a wrong
+Content-Length, something else than WARC) give a row with nothing but a ``problem``, which names the file, and reading goes on with
+the next gzip member. Segmented records get files of their own, so that each file is read once.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import save, scratch, small_batches, table
 
 CRLF = b"\r\n"
+_GZIP = b"\x1f\x8b\x08"
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
 FILE_BYTES = 64 << 20
@@ -56,8 +59,12 @@ def unframe(data: bytes) -> bytes:
     """The payload of chunked framing; chunk extensions and trailers are skipped."""
     parts, at = [], 0
     while True:
-        end = data.index(CRLF, at)
+        end = data.find(CRLF, at)
+        if end < 0:
+            raise ValueError("broken chunk")
         size = int(data[at:end].split(b";")[0].strip(), 16)
+        if size < 0:
+            raise ValueError("broken chunk")
         at = end + 2
         if not size:
             return b"".join(parts)
@@ -80,18 +87,18 @@ def page_identifier(page_id: int | None, row: int) -> str:
     return f"urn:page:{'null' if page_id is None else page_id}:{row}"
 
 
-def response(identifier: str, url: bytes | None, payload: bytes, digest: str, segment: int = SEGMENT) -> bytes:
-    """The gzip members of a page's response record and its continuations."""
+def response(identifier: str, url: bytes | None, payload: bytes, digest: str, segment: int = SEGMENT) -> tuple[bytes, int]:
+    """The gzip members of a page's response record and its continuations, and how many segments they are (0: one whole record)."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + frame(payload)
     parts = [block[at : at + segment] for at in range(0, len(block), segment)]
     common = {"WARC_Target_URI": url, "WARC_Payload_Digest": b"sha1:" + digest.encode(), "Content_Type": b"application/http; msgtype=response"}
     if len(parts) == 1:
-        return record(b"response", identifier, block, **common)
+        return record(b"response", identifier, block, **common), 0
     out = [record(b"response", identifier, parts[0], WARC_Segment_Number=b"1", **common)]
     for k, part in enumerate(parts[1:], 2):
         total = b"%d" % len(block) if k == len(parts) else None
         out.append(record(b"continuation", f"{identifier}:{k}", part, WARC_Target_URI=url, WARC_Segment_Origin_ID=f"<{identifier}>".encode(), WARC_Segment_Number=b"%d" % k, WARC_Segment_Total_Length=total))
-    return b"".join(out)
+    return b"".join(out), len(out)
 
 
 def revisit(identifier: str, url: bytes | None, size: int, digest: str, refers_to: str) -> bytes:
@@ -99,17 +106,34 @@ def revisit(identifier: str, url: bytes | None, size: int, digest: str, refers_t
     return record(b"revisit", identifier, block, WARC_Target_URI=url, WARC_Payload_Digest=b"sha1:" + digest.encode(), WARC_Profile=_PROFILE, WARC_Refers_To=f"<{refers_to}>".encode(), Content_Type=b"application/http; msgtype=response")
 
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a file object, one at a time."""
-    unpack, parts, rest = zlib.decompressobj(31), [], b""
+def members(stream) -> Iterator[bytes | ValueError]:
+    """The gzip members of a file object, one at a time; an error stands for bytes that are none, up to the next member."""
+    unpack, parts, rest, lost = zlib.decompressobj(31), [], b"", False
     while True:
         data = rest or stream.read(1 << 20)
+        rest = b""
         if not data:
-            if parts or not unpack.eof and unpack.unconsumed_tail:
-                raise ValueError("the archive ends inside a record")
+            if parts:
+                yield ValueError("the archive ends inside a record")
             return
-        parts.append(unpack.decompress(data))
-        rest = b""
+        if lost:
+            at = data.find(_GZIP)
+            if at < 0:
+                keep = data[-2:]
+                more = stream.read(1 << 20)
+                rest = keep + more if more else b""
+                if not more:
+                    return
+                continue
+            data, lost = data[at:], False
+        try:
+            parts.append(unpack.decompress(data))
+        except zlib.error as error:
+            yield ValueError(f"damaged gzip member: {error}")
+            rest, parts, unpack, lost = data[1:], [], zlib.decompressobj(31), True
+            if not rest:
+                rest = stream.read(1 << 20)
+            continue
         if unpack.eof:
             yield b"".join(parts)
             rest, parts, unpack = unpack.unused_data, [], zlib.decompressobj(31)
@@ -122,6 +146,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if "warc-type" not in headers or "warc-record-id" not in headers or not headers.get("content-length", "").isdigit():
+        raise ValueError("a WARC record without type, identifier or length")
     size = int(headers["content-length"])
     if len(rest) != size + 4:
         raise ValueError("the block's length differs from Content-Length")
@@ -156,16 +182,16 @@ def write_archive(pages: DataFrame, segment: int = SEGMENT, folder: str | None =
             for k in range(batch.num_rows):
                 payload, url = (texts[k].as_py() or "").encode(), urls[k].as_py()
                 digest = base32_sha1(payload)
-                data = response(page_identifier(ids[k].as_py(), rows[k].as_py()), None if url is None else url.encode(), payload, digest, segment)
-                out.append((digest, len(payload), data))
+                data, segments = response(page_identifier(ids[k].as_py(), rows[k].as_py()), None if url is None else url.encode(), payload, digest, segment)
+                out.append((digest, len(payload), data, segments))
                 held += len(data)
                 if held > 4 << 20 or k == batch.num_rows - 1:
-                    d, n, r = zip(*out)
+                    d, n, r, g = zip(*out)
                     m = len(out)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, m), urls.slice(at, m), rows.slice(at, m), pa.array(d, pa.string()), pa.array(n, pa.int64()), pa.array(r, pa.binary())], ["page_id", "url", "row", "digest", "n", "data"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, m), urls.slice(at, m), rows.slice(at, m), pa.array(d, pa.string()), pa.array(n, pa.int64()), pa.array(r, pa.binary()), pa.array(g, pa.int64())], ["page_id", "url", "row", "digest", "n", "data", "segments"])
                     at, held, out = k + 1, 0, []
 
-    packed = save(source.mapInArrow(pack, "page_id long, url string, row long, digest string, n long, data binary"), "warc-records")
+    packed = save(source.mapInArrow(pack, "page_id long, url string, row long, digest string, n long, data binary, segments long"), "warc-records")
     first = packed.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     firsts = save(first.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"), "copies"), "payload-groups")
     n_groups, narrow = firsts.count(), packed.select("row", "digest")
@@ -178,76 +204,114 @@ def write_archive(pages: DataFrame, segment: int = SEGMENT, folder: str | None =
     again = again.filter("row <> first_row").select("row", "first_page", "first_row")
     n_again = firsts.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
     side = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
-    planned = packed.join(side, "row", "left").select("page_id", "url", "row", "digest", "n", F.when(F.col("first_row").isNull(), F.col("data")).alias("data"), "first_page", "first_row")
+    planned = packed.join(side, "row", "left").select("page_id", "url", "row", "digest", "n", F.when(F.col("first_row").isNull(), F.col("data")).alias("data"), F.when(F.col("first_row").isNull(), F.col("segments")).otherwise(0).alias("segments"), "first_page", "first_row")
     folder = folder or scratch(spark, "warc")
 
     def write(batches):
         system, base = _file_system(folder)
         system.create_dir(base, recursive=True)
-        stream, path, size, count = None, "", 0, 0
+        files: dict[bool, list] = {}  # whole records and segmented ones: stream, path, bytes, records, segments
 
-        def close():
+        def close(kind: bool) -> pa.RecordBatch:
+            stream, path, *numbers = files.pop(kind)
             stream.close()
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], ["path", "bytes", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), *[pa.array([x], pa.int64()) for x in numbers]], ["path", "bytes", "records", "segments"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if stream is None:
+                kind = r["segments"] > 0
+                if kind not in files:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    stream, size, count = system.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}", compression=None), 0, 0
+                    files[kind] = [system.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}", compression=None), path, 0, 0, 0]
                 data = r["data"]
                 if data is None:
                     data = revisit(page_identifier(r["page_id"], r["row"]), None if r["url"] is None else r["url"].encode(), r["n"], r["digest"], page_identifier(r["first_page"], r["first_row"]))
-                stream.write(data)
-                size, count = size + len(data), count + 1
-                if size >= FILE_BYTES:
-                    yield close()
-                    stream = None
-        if stream is not None:
-            yield close()
+                now = files[kind]
+                now[0].write(data)
+                now[2:] = now[2] + len(data), now[3] + 1, now[4] + r["segments"]
+                if now[2] >= FILE_BYTES:
+                    yield close(kind)
+        for kind in list(files):
+            yield close(kind)
+
+    return save(planned.mapInArrow(write, "path string, bytes long, records long, segments long"), "warc-manifest")
+
 
-    return save(planned.mapInArrow(write, "path string, bytes long, records long"), "warc-manifest")
+_READ = "record_id string, warc_type string, target_uri string, refers_to string, header_digest string, stated_bytes long, origin string, segment int, total long, data binary, problem string"
 
 
-_READ = "record_id string, warc_type string, target_uri string, refers_to string, header_digest string, stated_bytes long, origin string, segment int, total long, data binary"
+def _strip(value: str | None) -> str | None:
+    return value[1:-1] if value else None
+
+
+def _number(value: str | None) -> int | None:
+    if value is not None and not value.isdigit():
+        raise ValueError(f"not a number: {value}")
+    return None if value is None else int(value)
+
+
+def _row(member: bytes, segmented: bool, damage: bool) -> tuple | None:
+    """A row of _READ from a gzip member: None for a record of the other kind. Raises ValueError if it is no record."""
+    try:
+        headers, block = parse(member)
+        number, total = _number(headers.get("warc-segment-number")), _number(headers.get("warc-segment-total-length"))
+    except ValueError:
+        if damage:
+            raise
+        return None
+    if (number is not None) != segmented:
+        return None
+    identifier, digest = _strip(headers["warc-record-id"]), headers.get("warc-payload-digest")
+    stated, data, problem = None, block, None
+    if not segmented:
+        try:
+            inner, data = open_http(block)
+            if headers["warc-type"] == "revisit":
+                stated, data = _number(inner.get("content-length")), None
+        except ValueError as error:
+            data, problem = None, str(error)
+    return identifier, headers["warc-type"], headers.get("warc-target-uri"), _strip(headers.get("warc-refers-to")), digest and digest.removeprefix("sha1:"), stated, _strip(headers.get("warc-segment-origin-id")) or identifier, number, total, data, problem
 
 
 def _read(manifest: DataFrame, segmented: bool) -> DataFrame:
-    """Records of the files: whole ones with their payload, or segments with their part of the block."""
+    """Records of the files: whole ones with their payload, or segments with their part of the block. Damage is reported by the one
+    that reads whole records, or, in files that have none, by the other, under an origin of its own."""
 
     def run(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, pure in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                damage = pure or not segmented
                 system, local = _file_system(path)
                 rows, held = [], 0
                 with system.open_input_stream(local, compression=None) as stream:
-                    for member in members(stream):
-                        headers, block = parse(member)
-                        number = headers.get("warc-segment-number")
-                        if (number is not None) != segmented:
-                            continue
-                        strip = lambda v: v[1:-1] if v else None
-                        identifier, stated, data = strip(headers["warc-record-id"]), None, block
-                        if not segmented:
-                            inner, data = open_http(block)
-                            if headers["warc-type"] == "revisit":
-                                stated, data = int(inner["content-length"]), None
-                        total = headers.get("warc-segment-total-length")
-                        digest = headers.get("warc-payload-digest")
-                        rows.append((identifier, headers["warc-type"], headers.get("warc-target-uri"), strip(headers.get("warc-refers-to")), digest and digest.removeprefix("sha1:"), stated, strip(headers.get("warc-segment-origin-id")) or identifier, None if number is None else int(number), None if total is None else int(total), data))
-                        held += len(block)
+                    for k, member in enumerate(members(stream)):
+                        try:
+                            if isinstance(member, ValueError):
+                                raise member
+                            row = _row(member, segmented, damage)
+                        except ValueError as error:
+                            row = (None, None, None, None, None, None, f"{path}#{k}", None, None, None, f"{path}: {error}") if damage else None
+                        if row:
+                            rows.append(row)
+                            held += len(row[-2] or b"")
                         if held > 8 << 20:
                             yield _batch(rows)
                             rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
+    # Files of whole records and of segmented ones are read once each; without counts of segments every file is read for both.
+    if "segments" in manifest.columns:
+        pure = F.col("segments") > 0
+        manifest = manifest.filter(pure if segmented else ~pure)
+    else:
+        pure = F.lit(False)
     # One file is a unit of work: spread them evenly, each to a task of its own where there are enough tasks.
-    return manifest.select("path").repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, _READ)
+    return manifest.select("path", pure.alias("pure")).repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in _READ.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -256,11 +320,13 @@ _PAYLOADS = "record_id string, warc_type string, target_uri string, refers_to st
 
 
 def assemble(group: pa.Table) -> pa.Table:
-    """One record from its segments."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["segment"])
-    head, payload, problem = rows[0], None, None
-    block = b"".join(r["data"] for r in rows)
-    if [r["segment"] for r in rows] != list(range(1, len(rows) + 1)) or rows[-1]["total"] is None:
+    """One record from its segments (or damage, which is a group of its own)."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["segment"] or 0)
+    head, payload, problem = rows[0], None, rows[0].get("problem")
+    block = b"".join(r["data"] or b"" for r in rows)
+    if problem:
+        pass
+    elif [r["segment"] for r in rows] != list(range(1, len(rows) + 1)) or rows[-1]["total"] is None:
         problem = "segments missing or doubled"
     elif rows[-1]["total"] != len(block):
         problem = "total length differs"
@@ -269,13 +335,15 @@ def assemble(group: pa.Table) -> pa.Table:
             payload = open_http(block)[1]
         except ValueError as error:
             problem = str(error)
-    return pa.Table.from_pylist([{"record_id": head["origin"], "warc_type": head["warc_type"], "target_uri": head["target_uri"], "refers_to": head["refers_to"], "header_digest": head["header_digest"], "stated_bytes": None, "payload": payload, "problem": problem}], pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in _PAYLOADS.split(", ")]))
+    return pa.Table.from_pylist([{"record_id": head["origin"] if head["record_id"] else None, "warc_type": head["warc_type"], "target_uri": head["target_uri"], "refers_to": head["refers_to"], "header_digest": head["header_digest"], "stated_bytes": None, "payload": payload, "problem": problem}], pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in _PAYLOADS.split(", ")]))
 
 
 def read_archive(manifest: DataFrame) -> DataFrame:
-    """(record_id, warc_type, target_uri, refers_to, header_digest, stated_bytes, payload, problem): one row per logical record."""
+    """(record_id, warc_type, target_uri, refers_to, header_digest, stated_bytes, payload, problem): one row per logical record, and
+    one for each stretch of damage. ``manifest``: path, and segments (the number of segment records in a file that has no others, else
+    0) if it is known."""
     small_batches(manifest.sparkSession)
-    whole = _read(manifest, False).select("record_id", "warc_type", "target_uri", "refers_to", "header_digest", "stated_bytes", F.col("data").alias("payload"), F.lit(None).cast("string").alias("problem"))
+    whole = _read(manifest, False).select("record_id", "warc_type", "target_uri", "refers_to", "header_digest", "stated_bytes", F.col("data").alias("payload"), "problem")
     return whole.unionByName(_read(manifest, True).groupBy("origin").applyInArrow(assemble, _PAYLOADS))
 
 

@@ -1,5 +1,6 @@
 """Near-duplicates, mixing, media, archives and graphs against brute force on small tables."""
 
+import gzip
 import hashlib
 import io
 import math
@@ -527,5 +528,40 @@ def test_members_and_parsing():
     data = b"".join(warc.record(b"resource", f"id{k}", b"x" * k, WARC_Target_URI=b"u") for k in range(40))
     records = [warc.parse(m) for m in warc.members(io.BytesIO(data))]
     assert [len(b) for _, b in records] == list(range(40)) and records[3][0]["warc-record-id"] == "<id3>"
-    with pytest.raises(ValueError):
-        list(warc.members(io.BytesIO(data[:-5])))
+    found = list(warc.members(io.BytesIO(data[:-5])))
+    assert len(found) == 40 and isinstance(found[-1], ValueError) and all(isinstance(m, bytes) for m in found[:-1])
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_damage_is_reported_and_reading_goes_on(spark, tmp_path, counted):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    pack = gzip.compress
+    fine = lambda k: warc.record(b"response", f"urn:{k}", http + warc.frame(b"p%d" % k))
+    broken = bytearray(fine(9) * 3)
+    broken[len(broken) // 2] ^= 0xFF
+    broken[len(broken) // 2 + 1] ^= 0xFF
+    files = {
+        "cut": fine(1) + fine(2)[:-9],
+        "chunk": warc.record(b"response", "urn:3", http + b"5\r\nabc") + fine(4),
+        "length": pack(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:5>\r\nContent-Length: 99\r\n\r\nabc\r\n\r\n") + fine(6),
+        "other": b"not a gzip file at all" * 10 + fine(7),
+        "text": pack(b"hello") + fine(8),
+        "flip": fine(10) + bytes(broken) + fine(11),
+        "empty": b"",
+        "number": warc.record(b"response", "urn:12", b"x", WARC_Segment_Number=b"one") + fine(13),
+    }
+    rows = []
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+        rows.append((f"file:{tmp_path}/{name}.warc.gz", 0))
+    manifest = spark.createDataFrame(rows, "path string, segments long")
+    got = warc.read_archive(manifest if counted else manifest.drop("segments")).collect()
+    payloads = {r["record_id"]: r["payload"] and bytes(r["payload"]) for r in got if r["record_id"]}
+    for k in (1, 4, 6, 7, 8, 10, 11, 13):
+        assert payloads[f"urn:{k}"] == b"p%d" % k
+    assert payloads["urn:3"] is None and next(r["problem"] for r in got if r["record_id"] == "urn:3") == "broken chunk"
+    said = [r["problem"] for r in got if r["record_id"] is None]
+    assert all(r is not None for r in said)
+    for name in ("cut", "length", "other", "text", "flip", "number"):
+        assert any(f"/{name}.warc.gz: " in x for x in said), name
+    assert not any("/empty.warc.gz" in x or "/chunk.warc.gz" in x for x in said)
