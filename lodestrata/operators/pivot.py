@@ -1,4 +1,4 @@
-"""Hierarchical pivots: one rollup over the axes, counts and exact decimal sums at each level."""
+"""Hierarchical pivots: rows are summed up by all axes once, then the few groups are rolled up; sums are exact decimals."""
 
 from __future__ import annotations
 
@@ -42,10 +42,14 @@ def pivot(df: DataFrame, schema: CollectionSchema, axes: Iterable[str], values:
     if not names:
         out = df.agg(F.count("*").alias("count"), *sums)
         return out.select(F.lit(0).alias(LEVEL), "count", *[f"sum_{f.name}" for f in values])
+    keys = [F.col(f"`{n}`") for n in names]
+    groups = df.groupBy(*keys).agg(F.count("*").alias("count"), *sums)
     # grouping_id has a bit for each axis that is rolled up; the ones stand on the right.
     level = F.lit(len(names)) - F.bit_count(F.grouping_id())
-    rolled = df.rollup(*[F.col(f"`{n}`") for n in names]).agg(level.cast("int").alias(LEVEL), F.count("*").alias("count"), *sums)
-    return rolled.select(LEVEL, *[F.col(f"`{n}`") for n in names], "count", *[f"sum_{f.name}" for f in values])
+    whole = T.DecimalType(38, scale)
+    upper = [F.sum(f"`sum_{f.name}`").cast(whole).alias(f"sum_{f.name}") for f in values]
+    rolled = groups.rollup(*keys).agg(level.cast("int").alias(LEVEL), F.sum("count").alias("count"), *upper)
+    return rolled.select(LEVEL, *keys, F.coalesce("count", F.lit(0)).alias("count"), *[f"sum_{f.name}" for f in values])
 
 
 @dataclass
