@@ -30,23 +30,26 @@ from .sources import csv, documents
 from .sources.store import BUCKETS, Store, scratch
 
 ACTIVITY = "@ACTIVITY"
+#: Log entries that the driver holds; older ones are in a table of the shared folder.
 LOG_ROWS = 10_000
-#: Query texts longer than this are cut in the log; the query itself never is.
-LOG_TEXT = 4000
 _ACTIVITY_SCHEMA = CollectionSchema(ACTIVITY, (Field("id", T.StringType(), "primary"), Field("timestamp", T.TimestampType(), "ordered"), Field("type", T.StringType()), Field("collection", T.StringType()), Field("query", T.StringType()), Field("shape", T.StringType()), Field("microseconds", T.LongType(), "ordered"), Field("plan", T.StringType())))
 
 
 class Engine:
     """Collections below ``root``, or in memory only views of DataFrames when there is none."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, retries: int = 8, tokens_to_ignore: Iterable[str] = ()):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = BUCKETS, retries: int = 8, tokens_to_ignore: Iterable[str] = (), most_entries: int = 0, most_ignored: int = fulltext.MOST_IGNORED):
+        """``buckets``: of new collections. ``tokens_to_ignore``, ``most_entries``, ``most_ignored``: stop tokens of full text, see
+        ``operators.fulltext``. The session's time zone becomes UTC, which literals of dates and times mean."""
         self.tokens_to_ignore = frozenset(tokens_to_ignore)
+        self.stop_rule = {"most_entries": most_entries, "most_ignored": most_ignored}
         self.spark, self.buckets, self.retries = spark, buckets, retries
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.store = Store(spark, root) if root else None
         self._views: dict[str, tuple[CollectionSchema, DataFrame]] = {}
-        self._log: deque = deque(maxlen=LOG_ROWS)
+        self._log: deque = deque()
+        self._old_log: str | None = None
         self._indexes: dict[tuple, fulltext.Index] = {}
         self._pinned = threading.local()
         self._declared: dict[str, CollectionSchema] = {}
@@ -110,6 +113,23 @@ class Engine:
         stored = [e["schema"]["name"] for e in self.manifest()["collections"].values()]
         return sorted({*stored, *(s.name for s, _ in self._views.values())})
 
+    def rebucket(self, name: str, buckets: int) -> None:
+        """Deal a collection's rows to another number of buckets, in one commit; writers that come in between make it start over."""
+
+        def change(manifest: dict) -> dict:
+            entry = manifest["collections"].get(name.lower())
+            if entry is None:
+                raise BindError(f"there is no collection {name}")
+            if buckets < 1:
+                raise EngineError("a collection needs a bucket")
+            if entry["count"] == buckets:
+                return manifest
+            schema = CollectionSchema.from_json(entry["schema"])
+            fresh = self.store.write(self.store.read(schema, entry), schema, buckets)
+            return manifest | {"collections": manifest["collections"] | {name.lower(): entry | {"count": buckets, "buckets": fresh}}}
+
+        self.commit(change)
+
     def drop(self, name: str) -> None:
         self._views.pop(name.lower(), None)
         self._declared.pop(name.lower(), None)
@@ -172,7 +192,8 @@ class Engine:
     # -- statements
 
     def sql(self, statement: str, full_text: str | None = None) -> DataFrame:
-        """Run one statement. ``delete`` returns the number of rows deleted as ``deleted``; ``explain`` the plan as ``plan``."""
+        """Run one statement. ``delete`` returns the number of rows deleted as ``deleted``, ``into`` that of rows written as
+        ``written``; ``explain`` the plan as ``plan``."""
         target = self.collection(S.collection_of(statement))
         query = S.parse(statement, target.schema)
         if full_text:
@@ -183,7 +204,7 @@ class Engine:
             return self.spark.createDataFrame([(target.explain(query),)], "plan string")
         out = target.run(query)
         if query.into:
-            documents.write_array(out, query.into)
+            return self.spark.createDataFrame([(documents.write_array(out, query.into),)], "written long")
         return out
 
     def sql_json(self, statement: str, full_text: str | None = None) -> Iterator[str]:
@@ -195,11 +216,17 @@ class Engine:
 
     def log(self, kind: str, collection: str, text: str, shape: str, seconds: float, plan: str = "") -> None:
         if collection.upper() != ACTIVITY:
-            self._log.append((uuid.uuid4().hex, dt.datetime.now(dt.timezone.utc), kind, collection, text[:LOG_TEXT], shape[:LOG_TEXT], int(seconds * 1e6), plan))
+            self._log.append((uuid.uuid4().hex, dt.datetime.now(dt.timezone.utc), kind, collection, text, shape, int(seconds * 1e6), plan))
+            if len(self._log) > LOG_ROWS:
+                self._old_log = self._old_log or scratch(self.spark)
+                old = [self._log.popleft() for _ in range(LOG_ROWS // 2)]
+                self.spark.createDataFrame(old, _ACTIVITY_SCHEMA.struct()).coalesce(1).write.mode("append").parquet(self._old_log)
 
     @property
     def activity(self) -> DataFrame:
-        return self.spark.createDataFrame(list(self._log), _ACTIVITY_SCHEMA.struct())
+        """All entries: nothing is forgotten while the engine lives."""
+        recent = self.spark.createDataFrame(list(self._log), _ACTIVITY_SCHEMA.struct())
+        return recent if self._old_log is None else self.spark.read.schema(_ACTIVITY_SCHEMA.struct()).parquet(self._old_log).unionByName(recent)
 
     def last(self, n: int = 10) -> DataFrame:
         return self.activity.orderBy(F.col("timestamp").desc(), "id").limit(n)
@@ -208,7 +235,11 @@ class Engine:
         return self.activity.orderBy(F.col("microseconds").desc(), "id").limit(n)
 
     def logged(self, query_id: str) -> dict | None:
-        return next((dict(zip([f.name for f in _ACTIVITY_SCHEMA.fields], r)) for r in self._log if r[0] == query_id), None)
+        found = next((dict(zip([f.name for f in _ACTIVITY_SCHEMA.fields], r)) for r in self._log if r[0] == query_id), None)
+        if found is None and self._old_log is not None:
+            rows = self.activity.filter(F.col("id") == query_id).limit(1).collect()
+            found = rows[0].asDict() if rows else None
+        return found
 
     # -- dumps
 
@@ -290,7 +321,8 @@ class Collection:
         return S.parse(statement, self.schema)
 
     def run(self, query: Q.Query) -> DataFrame:
-        """The query as a DataFrame; nothing runs until it is read, but the proof of completeness if that is asked for."""
+        """The query as a DataFrame. Nothing runs until it is read but the proof of completeness, if that is asked for, and the passes
+        of a full-text search that find its tokens' weights (in a view, over all lines)."""
         begin = time.perf_counter()
         if query.only_if_complete:
             self.check_complete(query)
@@ -325,11 +357,11 @@ class Collection:
         signature = (self.name.lower(), tuple(sorted(entry["buckets"].items())))
         if signature not in self.engine._indexes:
             path = f"{self.engine.store.root}/text/{self.name.lower()}-{uuid.uuid4().hex}"
-            fulltext.Index.write(self.frame(), self.schema, path)
+            folders = fulltext.Index.write(self.frame(), self.schema, path)
             stale = [k for k in self.engine._indexes if k[0] == self.name.lower()]
             for k in stale:
                 del self.engine._indexes[k]
-            self.engine._indexes[signature] = fulltext.Index.read(self.engine.spark, path, self.schema.fields[0].type)
+            self.engine._indexes[signature] = fulltext.Index.read(self.engine.spark, path, self.schema.fields[0].type, folders=folders)
         return self.engine._indexes[signature]
 
     def _ranked(self, query: Q.Query) -> DataFrame:
@@ -338,9 +370,9 @@ class Collection:
         if self._is_view:
             if not self.schema.full_text:
                 raise BindError(f"{self.name} has no full-text fields")
-            found = fulltext.scan(fulltext.lines(self.frame(), self.schema), query.full_text, scratch(self.engine.spark), stop=stop)
+            found = fulltext.scan(fulltext.lines(self.frame(), self.schema), query.full_text, scratch(self.engine.spark), stop=stop, **self.engine.stop_rule)
         else:
-            found = self.index().search(query.full_text, stop=stop)
+            found = self.index().search(query.full_text, stop=stop, **self.engine.stop_rule)
         ranked = found.withColumnRenamed("key", "__key")
         rows = C.filtered(self.frame(), query, self.schema)
         found = rows.join(ranked, F.col(f"`{self.schema.key}`") == F.col("__key"))

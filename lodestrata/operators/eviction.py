@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..sources.store import scratch
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,8 @@ class LeastRecentlyUsed:
     def survivors(self, rows: DataFrame, used: str, key: str, excluded: str | None = None) -> DataFrame:
         """The rows that stay; ``used`` is the time of last use, ties go by key.
 
-        The cut is found by a bounded top-k of (time, key), so nothing but that one row reaches the driver.
+        The cut is found in a range partitioning by (time, key): the counts of its parts, which are as many as shuffle partitions, say
+        in which one the last row to stay lies, and only that part is sorted on.
         """
         stays = F.coalesce(F.col(excluded), F.lit(False)) if excluded else F.lit(False)
         open_rows = rows.filter(~stays)
@@ -31,8 +33,15 @@ class LeastRecentlyUsed:
         keep = max(0, self.limit - self.remove)
         if keep == 0:
             return rows.filter(stays)
-        order = [F.col(used).desc_nulls_last(), F.col(key).desc_nulls_last()]
-        last = open_rows.select(used, key).orderBy(*order).offset(keep - 1).limit(1).first()
+        path = scratch(rows.sparkSession)
+        parts = open_rows.select(F.col(used).alias("u"), F.col(key).alias("k")).repartitionByRange(F.col("u").desc_nulls_last(), F.col("k").desc_nulls_last())
+        parts.withColumn("p", F.spark_partition_id()).write.parquet(path)
+        parts, before = rows.sparkSession.read.parquet(path), 0
+        for p, n in sorted(parts.groupBy("p").count().collect()):
+            if before + n >= keep:
+                break
+            before += n
+        last = parts.filter(F.col("p") == p).orderBy(F.col("u").desc_nulls_last(), F.col("k").desc_nulls_last()).offset(keep - 1 - before).limit(1).select("u", "k").first()
         newer = (F.col(used) > F.lit(last[0])) | ((F.col(used) == F.lit(last[0])) & (F.col(key) >= F.lit(last[1])))
         if last[0] is None:
             newer = F.col(used).isNotNull() | (F.col(key) >= F.lit(last[1]))

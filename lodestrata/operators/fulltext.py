@@ -5,6 +5,10 @@ Lines are a document's texts: a string field, each element of a string array, ea
 tokens in it, times 100 n when n > 1 of them are there, times a bonus for tokens in the query's order. A document scores the sum over its lines
 times the number of distinct query tokens it has; documents under a twentieth of the best are cut.
 
+Stop tokens: when there are more than ``most_entries`` postings (0: any number is fine), the tokens in most lines are dropped one after
+the other until no more postings are left than that, at most ``most_ignored`` of them. Dropped tokens find nothing and their postings
+don't count for the weights of the others.
+
 ``Index`` keeps the postings as a table bucketed by token hash, written once per snapshot; a search reads the few tokens it needs
 through a pushed filter. ``scan`` ranks without an index in one pass over the lines. Only the query's tokens and one maximum are ever on the driver.
 """
@@ -23,8 +27,7 @@ from ..functions import text as X
 from ..schema import CollectionSchema
 
 CUT = 20.0
-STOP_AFTER = 10_000_000
-MAX_STOPS = 100
+MOST_IGNORED = 100
 
 
 def _texts(c: Column, kind: T.DataType) -> Column | None:
@@ -105,24 +108,30 @@ def _bonus_column(query: list[str], at: dict[str, Column]) -> Column:
 
 
 class Index:
-    """Postings of one snapshot of a collection."""
+    """Postings of one snapshot of a collection, in folders by a hash of the token: the more, the more data there is to read."""
 
-    BUCKETS = 64
+    #: Bytes of source that a folder's tokens come from, about, and the fewest folders.
+    FOLDER_BYTES = 256 << 20
+    FEWEST = 8
 
-    def __init__(self, posted: DataFrame, squeeze: bool = True):
-        self.posted, self.squeeze = posted, squeeze
+    def __init__(self, posted: DataFrame, squeeze: bool = True, folders: int = 0):
+        self.posted, self.squeeze, self.folders = posted, squeeze, folders
 
     @staticmethod
-    def write(df: DataFrame, schema: CollectionSchema, path: str, squeeze: bool = True) -> None:
-        """Sorted by token inside hash buckets, so that a token's row groups can be found by their statistics."""
-        posted = postings(spread(lines(df, schema)), squeeze).withColumn("_b", F.pmod(F.xxhash64("token"), F.lit(Index.BUCKETS)).cast("int"))
-        # A frequent token may hold a large share of the postings: its rows are dealt out by key within the bucket.
+    def write(df: DataFrame, schema: CollectionSchema, path: str, squeeze: bool = True) -> int:
+        """Sorted by token inside hash folders, so that a token's row groups can be found by their statistics. Returns how many folders."""
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        folders = max(Index.FEWEST, math.ceil(size / Index.FOLDER_BYTES))
+        posted = postings(spread(lines(df, schema)), squeeze).withColumn("_b", F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int"))
+        # A frequent token may hold a large share of the postings: its rows are dealt out by key within the folder.
         posted.repartition("_b", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("_b", "token").write.partitionBy("_b").parquet(path)
+        return folders
 
     @staticmethod
-    def read(spark: SparkSession, path: str, key: T.DataType, squeeze: bool = True) -> Index:
+    def read(spark: SparkSession, path: str, key: T.DataType, squeeze: bool = True, folders: int = 0) -> Index:
+        """``folders``: what ``write`` returned; 0 looks into all of them."""
         struct = T.StructType([T.StructField("token", T.StringType()), T.StructField("key", key), T.StructField("line", T.IntegerType()), T.StructField("position", T.IntegerType()), T.StructField("_b", T.IntegerType())])
-        return Index(spark.read.schema(struct).parquet(path), squeeze)
+        return Index(spark.read.schema(struct).parquet(path), squeeze, folders)
 
     @staticmethod
     def of(df: DataFrame, schema: CollectionSchema, fields: Iterable[str] | None = None, squeeze: bool = True) -> Index:
@@ -131,36 +140,46 @@ class Index:
     def entries(self) -> int:
         return self.posted.count()
 
-    def stops(self, above: int = STOP_AFTER) -> list[str]:
-        """Tokens in more than ``above`` lines, the most frequent ones first, MAX_STOPS at most."""
-        return [r[0] for r in frequencies(self.posted).filter(F.col("df") > above).orderBy(F.col("df").desc(), "token").limit(MAX_STOPS).collect()]
+    def stops(self, most_entries: int, most_ignored: int = MOST_IGNORED, entries: int | None = None) -> tuple[list[str], int]:
+        """The tokens to drop and the postings that are left."""
+        return stop_tokens(self.posted, self.entries() if entries is None else entries, most_entries, most_ignored)
 
     def _of_tokens(self, tokens: list[str]) -> DataFrame:
         found = self.posted.filter(F.col("token").isin(tokens))
-        if "_b" in self.posted.columns:
-            found = found.filter(F.col("_b").isin([r[0] for r in self._buckets(tokens)]))
+        if self.folders:
+            spark = self.posted.sparkSession
+            asked = spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.folders)).cast("int")).distinct()
+            found = found.filter(F.col("_b").isin([r[0] for r in asked.collect()]))
         return found
 
-    def _buckets(self, tokens: list[str]):
-        spark = self.posted.sparkSession
-        return spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()
-
-    def search(self, text: str, take: int = 0, stop: Iterable[str] = (), entries: int | None = None, ignore_above: int = STOP_AFTER) -> DataFrame:
-        """(key, score, tokens) of the documents found, best first, ties by key.
-
-        Tokens of ``stop``, and those in more than ``ignore_above`` lines, count for nothing.
-        """
+    def search(self, text: str, take: int = 0, stop: Iterable[str] = (), entries: int | None = None, most_entries: int = 0, most_ignored: int = MOST_IGNORED) -> DataFrame:
+        """(key, score, tokens) of the documents found, best first, ties by key. Tokens of ``stop`` count for nothing."""
+        total = self.entries() if entries is None else entries
+        dropped, total = self.stops(most_entries, most_ignored, total)
+        stop = {*stop, *dropped}
         query, wanted = _query(text, stop, self.squeeze)
         if not wanted:
             return _nothing(self.posted.sparkSession, self.posted.schema["key"].dataType)
         every = list(dict.fromkeys(query))
         hits = self._of_tokens(every)
-        total = self.entries() if entries is None else entries
         df = {r[0]: r[1] for r in frequencies(hits.filter(F.col("token").isin(wanted))).collect()}
         place = [F.min(F.when(F.col("token") == t, F.col("position") + 1)).alias(f"p{k}") for k, t in enumerate(every)]
         per_line = hits.groupBy("key", "line").agg(*place)
         per_line = per_line.select("key", "line", *[F.coalesce(f"p{k}", F.lit(0)).alias(f"p{k}") for k in range(len(every))])
-        return _rank(per_line, query, wanted, df, total, take, ignore_above)
+        return _rank(per_line, query, wanted, df, total, take)
+
+
+def stop_tokens(posted: DataFrame, total: int, most_entries: int, most_ignored: int = MOST_IGNORED) -> tuple[list[str], int]:
+    """The rule of stop tokens for (token, ...) postings, ``total`` of them; ties go by token."""
+    if not most_entries or total <= most_entries:
+        return [], total
+    dropped = []
+    for token, n in frequencies(posted).orderBy(F.col("df").desc(), "token").limit(most_ignored).collect():
+        if total <= most_entries:
+            break
+        dropped.append(token)
+        total -= n
+    return dropped, total
 
 
 def _query(text: str, stop: Iterable[str], squeeze: bool) -> tuple[list[str], list[str]]:
@@ -174,10 +193,10 @@ def _nothing(spark: SparkSession, key: T.DataType) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField("key", key), T.StructField("score", T.DoubleType()), T.StructField("tokens", T.IntegerType())]))
 
 
-def _rank(per_line: DataFrame, query: list[str], wanted: list[str], df: dict[str, int], total: int, take: int, ignore_above: int) -> DataFrame:
+def _rank(per_line: DataFrame, query: list[str], wanted: list[str], df: dict[str, int], total: int, take: int) -> DataFrame:
     """Scores from (key, line, p0, p1, ...): the place, from 1, of each distinct query token in the line, 0 where it isn't."""
     every = list(dict.fromkeys(query))
-    known = [t for t in wanted if 0 < df.get(t, 0) <= ignore_above]
+    known = [t for t in wanted if df.get(t, 0) > 0]
     if not known or not total:
         return _nothing(per_line.sparkSession, per_line.schema["key"].dataType)
     at = {t: F.col(f"p{k}") for k, t in enumerate(every)}
@@ -189,16 +208,17 @@ def _rank(per_line: DataFrame, query: list[str], wanted: list[str], df: dict[str
     docs = line.groupBy("key").agg(F.sum("s").alias("s"), *[F.max(f"f{k}").alias(f"f{k}") for k in range(len(known))])
     count = sum((F.col(f"f{k}") for k in range(len(known))), F.lit(0))
     ranked = docs.select("key", (F.col("s") * count).alias("score"), count.cast("int").alias("tokens"))
-    best = ranked.agg(F.max("score").alias("best"))
-    kept = ranked.join(F.broadcast(best)).filter(F.col("score") >= F.col("best") / CUT).drop("best")  # the other side is one row
+    best = ranked.agg(F.max("score").alias("best")).scalar()
+    kept = ranked.filter(F.col("score") >= best / CUT)
     out = kept.orderBy(F.col("score").desc(), "key")
     return out.limit(take) if take else out
 
 
-def scan(lined: DataFrame, text: str, path: str, take: int = 0, stop: Iterable[str] = (), squeeze: bool = True, ignore_above: int = STOP_AFTER) -> DataFrame:
-    """The same ranking without an index, from (key, line, text): all lines are tokenised once.
+def scan(lined: DataFrame, text: str, path: str, take: int = 0, stop: Iterable[str] = (), squeeze: bool = True, most_entries: int = 0, most_ignored: int = MOST_IGNORED) -> DataFrame:
+    """The same ranking without an index, from (key, line, text): all lines are tokenised once (twice if there are stop tokens to find).
 
-    The pass writes the lines that have a token of the query to ``path`` and counts, on the way, all postings and each token's.
+    The pass runs at once: it writes the lines that have a token of the query to ``path`` and counts, on the way, all postings and
+    each token's.
     """
     query, wanted = _query(text, stop, squeeze)
     spark = lined.sparkSession
@@ -214,4 +234,8 @@ def scan(lined: DataFrame, text: str, path: str, take: int = 0, stop: Iterable[s
     stats = seen.get
     df = {t: stats[f"d{k}"] or 0 for k, t in enumerate(every)}
     hits = spark.read.schema(placed.drop("n").schema).parquet(path)
-    return _rank(hits, query, wanted, df, stats["n"] or 0, take, ignore_above)
+    total = stats["n"] or 0
+    if most_entries and total > most_entries:
+        dropped, total = stop_tokens(split.select(F.explode(F.array_distinct("tokens")).alias("token")), total, most_entries, most_ignored)
+        wanted = [t for t in wanted if t not in dropped]
+    return _rank(hits, query, wanted, df, total, take)

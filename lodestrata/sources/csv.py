@@ -105,11 +105,15 @@ class CsvSchema:
 
 
 def infer(spark: SparkSession, path: str, lines: int = SAMPLE, us_dates: bool = False, composite: bool = True) -> CsvSchema:
-    """From the header and at most ``lines`` lines. A line with another number of columns is an error."""
-    sample = [r[0] for r in spark.read.text(path).limit(lines + 1).collect()]
-    if not sample:
+    """From the header and at most ``lines`` lines of the file, or of all files of the folder. A line with another number of columns
+    is an error; lines like the header are the other files' headers."""
+    text = spark.read.text(path)
+    head = text.limit(1).collect()
+    if not head:
         raise EngineError(f"{path} is empty")
-    return infer_lines(sample, us_dates, composite)
+    header = head[0][0]
+    sample = [r[0] for r in text.filter(F.col("value") != header).limit(lines).collect()]
+    return infer_lines([header, *sample], us_dates, composite)
 
 
 def infer_lines(sample: list[str], us_dates: bool = False, composite: bool = True) -> CsvSchema:
@@ -149,7 +153,7 @@ def discriminant(columns: list[Column_], rows: list[list[str]]) -> list[str]:
 
 
 def discriminant_in(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns, largest, average) of each column and pair over all rows, the most telling first: one grouping-sets aggregation."""
+    """(columns, largest, average) of each column and pair over all rows, the most telling first: one aggregation for each of them."""
     sets = [(c,) for c in columns] + list(combinations(columns, 2))
     parts = None
     for names in sets:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,17 +53,42 @@ def stream(df: DataFrame) -> Iterator[str]:
 
 
 def write_array(df: DataFrame, path: str) -> int:
-    """One JSON array in a local file of the driver, written row by row; returns the number of rows."""
+    """One JSON array, written row by row: in a file of the driver, or, if ``path`` has a scheme, on that file system; returns the
+    number of rows."""
     n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
+    with _target(df.sparkSession, path) as out:
+        out(b"[")
         for r in as_json(df).toLocalIterator():
-            out.write((",\n" if n else "\n") + r[0])
+            out(((",\n" if n else "\n") + r[0]).encode())
             n += 1
-        out.write("\n]\n")
+        out(b"\n]\n")
     return n
 
 
+@contextmanager
+def _target(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """A function that writes bytes to ``path``."""
+    if ":/" not in path:
+        with open(path, "wb") as file:
+            yield file.write
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    held = bytearray()
+
+    def write(data: bytes) -> None:
+        held.extend(data)
+        if len(held) > 1 << 20:
+            stream.write(held)
+            held.clear()
+
+    try:
+        yield write
+        stream.write(held)
+    finally:
+        stream.close()
+
+
 def loads(text: str) -> list[dict]:
     data = json.loads(text)
     return data if isinstance(data, list) else [data]

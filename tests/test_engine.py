@@ -192,7 +192,37 @@ def test_profile_and_stop_words(engine, homes):
     assert engine.last(1).first()["plan"].endswith("6 rows")
     quiet = Engine(engine.spark, engine.store.root, tokens_to_ignore=["chien"]).collection("homes")
     assert quiet.search("chien").count() == 0 and homes.search("chien").count() == 10
-    assert homes.index().search("chien", ignore_above=5).count() == 0
+    assert homes.index().search("chien", most_entries=1).count() == 0
+    assert Engine(engine.spark, engine.store.root, most_entries=1).collection("homes").search("chien").count() == 0
+
+
+def test_log_forgets_nothing(spark, monkeypatch):
+    from lodestrata import engine as module
+
+    monkeypatch.setattr(module, "LOG_ROWS", 10)
+    e = Engine(spark)
+    for k in range(37):
+        e.log("select", "homes", f"{k} " + "x" * 9000, "shape", k / 1e6)
+    rows = e.activity.collect()
+    assert sorted(int(r["query"].split()[0]) for r in rows) == list(range(37)) and all(len(r["query"]) > 9000 for r in rows)
+    assert e.longest(1).first()["microseconds"] == 36 and all(e.logged(r["id"])["query"] == r["query"] for r in rows[:3])
+
+
+def test_another_number_of_buckets(engine, homes):
+    before = sorted(map(str, homes.frame().collect()))
+    engine.rebucket("homes", 3)
+    assert homes.entry["count"] == 3 and len(homes.entry["buckets"]) <= 3 and sorted(map(str, homes.frame().collect())) == before
+    homes.put({"id": 17, "address": "moved"})
+    homes.delete(3)
+    assert homes[17]["address"] == "moved" and homes[3] is None and homes.frame().count() == len(before) - 1
+    with pytest.raises(BindError):
+        engine.rebucket("nothing", 3)
+
+
+def test_drop_database(engine, homes):
+    engine.unique_ids("n", 4)
+    engine.drop_database()
+    assert engine.collections() == [] and list(engine.unique_ids("n")) == [1]
 
 
 def test_feeds(engine, homes, spark, tmp_path):

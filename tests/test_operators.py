@@ -9,6 +9,7 @@ from lodestrata.engine import Engine
 from lodestrata.errors import BindError, EngineError
 from lodestrata.functions import text as X
 from lodestrata.operators import eviction, metadata, pivot
+from lodestrata.operators import fulltext
 from lodestrata.operators.fulltext import Index, bonus, lines, scan
 from lodestrata.plans.builder import field
 from lodestrata.schema import define, of_frame
@@ -120,7 +121,26 @@ def test_search_against_the_recipe(spark, seed, tmp_path):
         scanned = {x["key"]: (x["score"], x["tokens"]) for x in scan(lines(df, of_frame("d", df.schema, "id", ("texts",))), query, str(tmp_path / str(hash(query)))).collect()}
         assert scanned.keys() == got.keys() and all(math.isclose(scanned[k][0], got[k][0], rel_tol=1e-9) and scanned[k][1] == got[k][1] for k in got)
         assert got.keys() == expected.keys() and all(math.isclose(got[k][0], expected[k][0], rel_tol=1e-9) and got[k][1] == expected[k][1] for k in got), query
-    assert index.search("nice", stop=["nice"]).count() == 0 and len(index.stops(above=20)) > 0
+    assert index.search("nice", stop=["nice"]).count() == 0
+    assert index.stops(0) == ([], index.entries()) == index.stops(index.entries())
+    # The stop-token rule: while too many postings are left the token in most lines goes, so many at most.
+    counts = sorted(((-x["df"], x["token"]) for x in fulltext.frequencies(index.posted).collect()))
+    total = index.entries()
+    for most_entries, most_ignored in ((total - 1, 5), (total // 2, 100), (1, 3))[seed : seed + 1]:
+        dropped, left = [], total
+        for n, token in counts:
+            if left <= most_entries or len(dropped) == most_ignored:
+                break
+            dropped.append(token)
+            left += n
+        assert index.stops(most_entries, most_ignored) == (dropped, left)
+        kept = [w for w in ("nice", "view") if w not in dropped]
+        rule = {"most_entries": most_entries, "most_ignored": most_ignored}
+        lined = lines(df, of_frame("d", df.schema, "id", ("texts",)))
+        ranked = lambda found: sorted((x["key"], round(x["score"], 9), x["tokens"]) for x in found.collect())
+        by_rule = ranked(index.search("nice view", **rule))
+        assert by_rule == ranked(index.search("nice view", stop=dropped, entries=left)) == ranked(scan(lined, "nice view", str(tmp_path / f"{most_entries}-{most_ignored}"), **rule))
+        assert bool(by_rule) == bool(kept)
 
 
 def test_texts_inside_documents(spark):
@@ -210,3 +230,22 @@ def test_every_order_becomes_json(spark):
     got = sorted(r["json"] for r in QUERIES["q32_to_json_all"](spark, folder).collect())
     sql = ORACLE["q32_to_json_all"].replace("FROM orders", f"FROM '{folder}/orders.parquet'")
     assert len(got) == spark.read.parquet(f"{folder}/orders.parquet").count() and got == sorted(r[0] for r in duckdb.sql(sql).fetchall())
+
+
+def test_csv_folder_of_several_files(spark, tmp_path):
+    """Every file has the header; none of them is taken for data."""
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text("first long column,second\n" + "".join(f"{k * 10 + j},{j / 4}\n" for j in range(5)))
+    schema = csv.infer(spark, str(tmp_path))
+    assert [(c.name, c.type) for c in schema.columns] == [("firstLongColumn", "int"), ("second", "float")]
+    assert csv.read(spark, str(tmp_path), schema).count() == 15
+
+
+def test_lru_cut_in_a_range_partitioning(spark):
+    r = random.Random(5)
+    rows = [(k, r.choice([None, *range(20)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int").repartition(5)
+    order = sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[0]), reverse=True)
+    for limit, remove in ((400, 1), (400, 100), (300, 250), (400, 399), (100, 100)):
+        kept = eviction.LeastRecentlyUsed(limit, remove).survivors(df, "t", "k").collect()
+        assert sorted(r["k"] for r in kept) == sorted(k for k, _ in order[: max(0, limit - remove)])
