@@ -191,9 +191,38 @@ def _frequencies(spark, sf_dir):
 
 
 SEARCH = "erst thing Worthless trash"
-
-
-@query("q33_fulltext", None)
+_WANTED = ("erst", "thing", "worthles", "trash")
+
+
+def _search_sql() -> str:
+    """The ranking recipe for SEARCH over one text a document: tokens with repeated characters once, weights by all postings,
+    bonuses for order, and the cut at a twentieth of the best."""
+    squeeze = "list_aggregate(list_filter(string_split(low, ''), lambda c, i: i = 1 OR c <> string_split(low, '')[i - 1]), 'string_agg', '')"
+    at = [f"min(CASE WHEN token = '{t}' THEN pos END) AS p{k}" for k, t in enumerate(_WANTED)]
+    weight = " + ".join(["CAST(0.0 AS DOUBLE)", *[f"CASE WHEN p{k} IS NOT NULL THEN w{k} ELSE CAST(0.0 AS DOUBLE) END" for k in range(4)]])
+    n = " + ".join(f"CAST(p{k} IS NOT NULL AS INTEGER)" for k in range(4))
+    bonus = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            next_to = " AND ".join([f"p{i} IS NOT NULL", f"p{j} IS NOT NULL", *[f"p{m} IS NULL" for m in range(i + 1, j)]])
+            gap = f"p{j} - p{i} - {j - i}"
+            bonus.append(f"CAST(CASE WHEN NOT ({next_to}) THEN 1 WHEN {gap} = 0 THEN 100 WHEN {gap} = 1 THEN 50 WHEN {gap} = 2 THEN 30 WHEN p{j} > p{i} THEN 2 ELSE 1 END AS DOUBLE)")
+    return f"""
+WITH found AS (SELECT doc_id, {_TOKENS.format('text')} AS list FROM documents),
+raw AS (SELECT doc_id, unnest(list) AS tok, unnest(range(1, len(list) + 1)) AS pos FROM found),
+low AS (SELECT tok, strip_accents(lower(tok)) AS low FROM (SELECT DISTINCT tok FROM raw)),
+norm AS (SELECT tok, {squeeze} AS token FROM low),
+post AS (SELECT doc_id, token, min(pos) AS pos FROM raw JOIN norm USING (tok) GROUP BY doc_id, token),
+total AS (SELECT count(*) AS n FROM post),
+weights AS (SELECT {", ".join(f"log10(max(n) / nullif(CAST(count(*) FILTER (token = '{t}') AS DOUBLE), 0)) AS w{k}" for k, t in enumerate(_WANTED))} FROM post, total),
+lines AS (SELECT doc_id, {", ".join(at)} FROM post GROUP BY doc_id),
+scored AS (SELECT doc_id, {n} AS n, ({weight}) * CASE WHEN {n} > 1 THEN CAST(100.0 AS DOUBLE) * ({n}) ELSE CAST(1.0 AS DOUBLE) END * ({" * ".join(bonus)}) AS s FROM lines, weights),
+hits AS (SELECT doc_id, CAST(s * n AS DOUBLE) AS score, CAST(n AS INTEGER) AS tokens FROM scored WHERE n > 0),
+kept AS (SELECT * FROM hits WHERE score >= (SELECT max(score) FROM hits) / 20)
+"""
+
+
+@query("q33_fulltext", _search_sql() + "SELECT doc_id, score, tokens FROM kept")
 def _search(spark, sf_dir):
     """All documents that the search finds, with their rank score."""
     d = view(spark, sf_dir, "documents", full_text=("text",))
@@ -201,7 +230,17 @@ def _search(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), "score", "tokens")
 
 
-@query("q34_mixed", None)
+@query("q33_index", _search_sql() + "SELECT doc_id, score, tokens FROM kept")
+def _indexed(spark, sf_dir):
+    """The same from a stored collection's index."""
+    engine = Engine(spark, scratch(spark))
+    df = table(spark, sf_dir, "documents")
+    d = engine.declare(of_frame("documents", df.schema, "doc_id", ("text",)))
+    d.put_many(df)
+    return d.index().search(SEARCH).select(F.col("key").alias("doc_id"), "score", "tokens")
+
+
+@query("q34_mixed", _search_sql() + "SELECT doc_id, lang, n_chars FROM kept JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars > 500")
 def _mixed(spark, sf_dir):
     d = view(spark, sf_dir, "documents", full_text=("text",))
     return d.where((field("lang") == "en") & (field("n_chars") > 500)).full_text(SEARCH).select("doc_id", "lang", "n_chars").frame()
@@ -350,6 +389,217 @@ def _consistent(spark, sf_dir):
         return seen.select("s_suppkey", "s_name")
 
 
+# -- more of the surface
+
+
+@query("q19_boolean_member", _O + "o_orderpriority = '1-URGENT' AND NOT (o_totalprice > 100000)")
+def _boolean(spark, sf_dir):
+    """A boolean column as a condition, and one negated."""
+    df = table(spark, sf_dir, "orders").withColumns({"urgent": F.col("o_orderpriority") == "1-URGENT", "dear": F.col("o_totalprice") > 100000})
+    return view(spark, sf_dir, "orders", df).where(field("urgent").is_true() & ~field("dear").is_true()).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").frame()
+
+
+@query("q29_first", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1")
+def _first(spark, sf_dir):
+    found = view(spark, sf_dir, "orders").where(field("o_orderstatus") == "F").select("o_orderkey", "o_custkey").order_by_descending("o_totalprice").first()
+    return spark.createDataFrame([found], table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").schema)
+
+
+@query("q20_pivot_tree", "SELECT depth, axis, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(n) AS BIGINT) AS count, CAST(sum(s) AS DECIMAL(38,2)) AS sum_o_totalprice FROM (SELECT 0 AS depth, '' AS axis, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM orders UNION ALL SELECT 1, 'o_orderstatus', count(*), sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders GROUP BY o_orderstatus UNION ALL SELECT 2, 'o_orderpriority', count(*), sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders GROUP BY o_orderstatus, o_orderpriority) GROUP BY depth, axis")
+def _tree(spark, sf_dir):
+    """The trees of two halves of the orders, merged and checked, summed up by level."""
+    df = table(spark, sf_dir, "orders")
+    halves = [pivot.tree(view(spark, sf_dir, "orders", df.filter(f"o_custkey % 2 = {k}")).pivot(["o_orderstatus", "o_orderpriority"], ["o_totalprice"], scale=2)) for k in (0, 1)]
+    halves[0].merge(halves[1])
+    halves[0].check()
+    levels, depth = [halves[0]], 0
+    rows = []
+    while levels:
+        rows.append((depth, levels[0].axis or "", len(levels), sum(n.count for n in levels), sum(n.sums["o_totalprice"] for n in levels)))
+        levels, depth = [c for n in levels for c in n.children.values()], depth + 1
+    return spark.createDataFrame(rows, "depth int, axis string, nodes long, count long, sum_o_totalprice decimal(38,2)")
+
+
+@query("q35_feed", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT 88888888, 'fed'")
+def _feed(spark, sf_dir):
+    """A feed session of a table and a row, committed together; one that fails leaves nothing."""
+    df = table(spark, sf_dir, "supplier")
+    engine = Engine(spark, scratch(spark))
+    s = engine.declare(of_frame("supplier", df.schema, "s_suppkey"))
+    with s.feed() as parts:
+        parts.append(df)
+        parts.append({"s_suppkey": 88888888, "s_name": "fed"})
+    try:
+        with s.feed() as parts:
+            parts.append({"s_suppkey": 99999999, "s_name": "lost"})
+            raise ValueError
+    except ValueError:
+        pass
+    return s.frame().select("s_suppkey", "s_name")
+
+
+@query("q35_stream", "SELECT s_suppkey, s_name FROM supplier")
+def _streamed(spark, sf_dir):
+    """A streamed folder of documents, put batch by batch."""
+    from .streaming.ingest import upsert_stream
+
+    path, df = scratch(spark), table(spark, sf_dir, "supplier")
+    s = Engine(spark, path + "/db").declare(of_frame("supplier", df.schema, "s_suppkey"))
+    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path + "/in")
+    upsert_stream(s, spark.readStream.text(path + "/in"), path + "/cp", "value").awaitTermination()
+    return s.frame().select("s_suppkey", "s_name")
+
+
+@query("q38_timestamp_update", "SELECT s_suppkey, CASE WHEN s_suppkey = 2 THEN 'newer' ELSE s_name END AS s_name FROM supplier")
+def _stamped(spark, sf_dir):
+    """An update that has seen the row's time stamp is taken, one with an old stamp refused."""
+    from .errors import ConditionFailed
+
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(dt.datetime(2024, 1, 1)).alias("Timestamp"))
+    s = Engine(spark, scratch(spark)).declare(of_frame("supplier", df.schema, "s_suppkey"))
+    s.put_many(df)
+    old = s[2]
+    s.update_with_timestamp({**old, "s_name": "newer"})
+    try:
+        s.update_with_timestamp({**old, "s_name": "refused"})
+    except ConditionFailed:
+        pass
+    return s.frame().select("s_suppkey", "s_name")
+
+
+@query("q37_unique_ids", "SELECT CAST(range AS BIGINT) AS id, range >= 6 AS second FROM range(1, 9)")
+def _unique(spark, sf_dir):
+    path = scratch(spark)
+    one, two = Engine(spark, path), Engine(spark, path)
+    rows = [(i, False) for i in one.unique_ids("n", 5)] + [(i, True) for i in two.unique_ids("n", 3)]
+    return spark.createDataFrame(rows, "id long, second boolean")
+
+
+@query("q36_delete_key", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (1, 3)")
+def _delete_key(spark, sf_dir):
+    engine, s = _stored(spark, sf_dir, "supplier")
+    s.delete(1)
+    s.delete(123456789)
+    t = engine.transaction()
+    t.delete(s, 3)
+    t.commit()
+    return s.frame().select("s_suppkey", "s_name")
+
+
+@query("q46_drop", "SELECT 'supplier' AS name, count(*) AS rows FROM supplier")
+def _drop(spark, sf_dir):
+    engine, s = _stored(spark, sf_dir, "supplier")
+    df = table(spark, sf_dir, "customer")
+    engine.declare(of_frame("customer", df.schema, "c_custkey")).put_many(df)
+    engine.drop("customer")
+    return spark.createDataFrame([(n, engine.collection(n).query().count()) for n in engine.collections()], "name string, rows long")
+
+
+@query("q46_rebucket", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <> 5")
+def _rebucket(spark, sf_dir):
+    engine, s = _stored(spark, sf_dir, "supplier")
+    engine.rebucket("supplier", 3)
+    s.delete(5)
+    return s.frame().select("s_suppkey", "s_name")
+
+
+@query("q43_json_file", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def _json_file(spark, sf_dir):
+    """INTO a file of one JSON array in the shared folder, and that file imported again."""
+    engine, s = _stored(spark, sf_dir, "supplier")
+    path = scratch(spark)
+    path = (path if ":/" in path else "file:" + path) + ".json"
+    engine.sql(f"select from supplier where s_acctbal > 0 into {path}")
+    copy = Engine(spark, scratch(spark)).declare(s.schema)
+    copy.import_json(path)
+    return copy.frame().select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("q43_json_stream", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 1")
+def _json_stream(spark, sf_dir):
+    """Rows streamed out as JSON documents and read again."""
+    from pyspark.sql import types as T
+
+    df = table(spark, sf_dir, "nation")
+    engine = Engine(spark)
+    engine.attach("nation", df, "n_nationkey")
+    texts = list(engine.sql_json("select n_nationkey, n_name from nation where n_regionkey <> 1"))
+    schema = of_frame("nation", T.StructType([df.schema["n_nationkey"], df.schema["n_name"]]), "n_nationkey")
+    return documents.from_strings(spark, texts, schema)
+
+
+def _discriminant_sql(columns: tuple[str, ...]) -> str:
+    from itertools import combinations
+
+    parts = [f"SELECT '{'+'.join(c)}' AS columns, max(n) AS largest, avg(n) AS average FROM (SELECT count(*) AS n FROM orders GROUP BY {', '.join(c)})" for c in [*((x,) for x in columns), *combinations(columns, 2)]]
+    return " UNION ALL ".join(parts)
+
+
+_TELLING = ("o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("q45_discriminant", _discriminant_sql(_TELLING))
+def _telling(spark, sf_dir):
+    from .sources import csv
+
+    return csv.discriminant_in(table(spark, sf_dir, "orders"), list(_TELLING))
+
+
+@query("q45_csv_folder", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _csv_folder(spark, sf_dir):
+    """A folder of several files, each with a header: schema found, collection made and fed."""
+    path = scratch(spark)
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").repartition(4, "c_custkey").write.csv(path + "/csv", header=True)
+    engine = Engine(spark, path + "/db")
+    c = Collection.feed_csv_with_automatic_schema(engine, path + "/csv", "customer")
+    return c.frame().select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_name"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query("q40_lru_excluded", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type = 'click' ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE event_type = 'click' OR k <= 300")
+def _lru_excluded(spark, sf_dir):
+    """Excluded rows neither count nor go."""
+    df = table(spark, sf_dir, "events").withColumn("kept", F.col("event_type") == "click")
+    return eviction.LeastRecentlyUsed(400, 100).survivors(df, "ts", "event_id", "kept").select("event_id", "user_id")
+
+
+@query("q41_ttl_excluded", "SELECT event_id, user_id FROM events WHERE event_type = 'click' OR ts > TIMESTAMP '2024-01-20' - INTERVAL 10 DAY")
+def _ttl_excluded(spark, sf_dir):
+    df = table(spark, sf_dir, "events").withColumn("kept", F.col("event_type") == "click")
+    return eviction.TimeToLive(10 * 86400).survivors(df, "ts", dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc), "kept").select("event_id", "user_id")
+
+
+@query("q47_fully_loaded", "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000")
+def _complete(spark, sf_dir):
+    """Refused while nothing vouches for completeness, answered once the collection is declared fully loaded."""
+    from .errors import EngineError, IncompleteData
+
+    _, o = _stored(spark, sf_dir, "orders")
+    asked = o.where(field("o_totalprice") > 400000).select("o_orderkey").only_if_complete()
+    try:
+        asked.frame()
+    except IncompleteData:
+        o.declare_fully_loaded()
+        return asked.frame()
+    raise EngineError("an unproven answer")
+
+
+@query("q49_activity", "SELECT * FROM (VALUES ('count', 'nation'), ('select', 'nation')) AS t(type, collection)")
+def _activity(spark, sf_dir):
+    """The log of what was asked, itself asked as a collection."""
+    engine = Engine(spark)
+    engine.attach("nation", table(spark, sf_dir, "nation"), "n_nationkey")
+    engine.sql("select from nation where n_regionkey = 1")
+    engine.sql("count from nation")
+    return engine.sql("select type, collection from @ACTIVITY where collection = nation")
+
+
+@query("q50_form", "SELECT p_partkey, p_size FROM part WHERE lower(p_name) LIKE 'red%' AND p_size BETWEEN 3 AND 40 AND p_size NOT IN (7, 8) ORDER BY p_partkey LIMIT 30")
+def _form(spark, sf_dir):
+    """A structured form turned into a statement and run."""
+    parts = [{"column": "p_name", "operator": "starts with", "values": ["red"]}, {"column": "p_size", "operator": ">=", "values": [3]}, {"column": "p_size", "operator": "<=", "values": [40]}, {"column": "p_size", "operator": "not in", "values": [7, 8]}]
+    return _run(view(spark, sf_dir, "part"), metadata.form_to_sql("part", parts, "p_partkey", take=30)).select("p_partkey", "p_size")
+
+
 def plan_of(spark: SparkSession, sf_dir: str, name: str) -> str:
     """The physical plan of a registered query."""
     return QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
