@@ -19,16 +19,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
 #: No more than this many keys can each hold more than 1/HOT_KEYS of a table's rows.
 HOT_KEYS = 200
-#: Bytes of text that one numpy step handles at most (a longer single text makes a step of its own).
+#: Bytes of text that one numpy step handles at most; a longer single text makes a step of its own, which goes on in slices.
 STEP_BYTES = 1 << 20
 
+#: Bytes of a letter run that count as one word.
+LONGEST_WORD = 1024
+
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 
@@ -242,16 +245,35 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(~_WS[buf], offs)
 
 
-def letters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes (ASCII and Latin-1 capitals) and the spans of letter runs; every byte from 0x80 counts as a letter."""
+def letters(buf: np.ndarray, offs: np.ndarray, last: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes (ASCII and Latin-1 capitals) and the spans of words: letter runs, cut every LONGEST_WORD bytes; every byte from
+    0x80 counts as a letter. ``last``: the byte before, of a slice of a text."""
     low = _LOWER[buf]
+    if last == 0xC3 and len(buf) and 0x80 <= buf[0] <= 0x9E and buf[0] != 0x97:
+        low[0] += 32
     if len(buf) > 1:
         capital = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
         low[1:][capital] += 32
     start, end = runs(_ALPHA[buf], offs)
+    if (end - start > LONGEST_WORD).any():
+        parts = -(-(end - start) // LONGEST_WORD)
+        begin = np.repeat(start, parts) + LONGEST_WORD * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        start, end = begin, np.minimum(begin + LONGEST_WORD, np.repeat(end, parts))
     return low, start, end
 
 
+def letter_slices(buf: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of one text, of at most ``step`` bytes (a multiple of LONGEST_WORD), that cut no word of ``letters``."""
+    at = 0
+    while at < len(buf):
+        stop = min(len(buf), at + step)
+        if stop < len(buf):
+            other = np.flatnonzero(~_ALPHA[buf[at:stop]])
+            stop = at + int(other[-1]) + 1 if len(other) else stop
+        yield at, stop
+        at = stop
+
+
 def row_of(offs: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, start, "right") - 1
 
@@ -265,18 +287,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0, label: str | None = None) -> DataFrame:
     """At most ``rows`` rows, chosen by the hash of ``key``: the same rows at each run, whatever the partitioning.
 
     A first pass counts the keys (no other column is read); the second lets about twice ``rows`` rows through by their hash, so that
-    the final cut has little to sort at any size of the table. Rows without a key are not chosen.
+    the final cut has little to sort at any size of the table. Rows without a key are not chosen. With ``label`` every label gets the
+    same number of rows as far as it has them, by turns in the order, so rare labels are there at any size of the table.
     """
     df = df.filter(F.col(key).isNotNull())
-    share = min(1.0, 2 * rows / max(1, df.select(key).count()))
     h = F.xxhash64(F.lit(seed), F.col(key))
-    if share < 1:
-        df = df.filter(h < F.lit(int(-(2**63) + share * 2**64)))
-    return df.orderBy(h, F.col(key)).limit(rows)
+    if label is None:
+        share = min(1.0, 2 * rows / max(1, df.select(key).count()))
+        if share < 1:
+            df = df.filter(h < F.lit(int(-(2**63) + share * 2**64)))
+        return df.orderBy(h, F.col(key)).limit(rows)
+    counts = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    counts = save(counts, "label-counts")
+    labels = counts.count()
+    quota = max(1, rows // max(1, labels))
+    counts = F.broadcast(counts) if labels <= 10_000 else counts
+    near = df.join(counts, F.col(label) == F.col("__label"))
+    near = near.filter(h / F.lit(2.0**64) + 0.5 < 2.0 * quota / F.col("__n") + F.lit(8.0) / F.col("__n"))
+    turn = F.row_number().over(Window.partitionBy("__label").orderBy(h, F.col(key)))
+    return near.withColumn("__turn", turn).filter(F.col("__turn") <= quota).orderBy("__turn", "__label").limit(rows).select(*df.columns)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

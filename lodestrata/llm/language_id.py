@@ -10,7 +10,10 @@ Training (on the driver, from a bounded sample): documents' sentences of differe
 sequences, and the regularised log-likelihood is climbed by AdaGrad with the exact gradient. The sample's bounds are parameters.
 
 A document's prediction is the label with the largest sum of word marginals, weighted by word length, and its score that label's
-share. Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is
+share. A text of more than ``STEP_BYTES`` goes through in slices twice: the first time for each slice's transition product, the second
+with the exact messages from both sides, so the marginals are those of the whole chain and memory doesn't grow with the text.
+
+Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is
 ``und``; repeated rows get equal results; ties go to the label first in code-point order; other columns are ignored.
 """
 
@@ -24,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, Rolling, bounded_sample, crc_mod, distinct_spans, letters, map_batches, mix, row_of, small_batches, steps, table, utf8
+from .common import STEP_BYTES, Memo, Rolling, bounded_sample, crc_mod, distinct_spans, letter_slices, letters, map_batches, mix, row_of, small_batches, steps, table, utf8
 
 UNDETERMINED = "und"
 #: Words per block of the blocked forward-backward pass.
@@ -79,12 +82,13 @@ def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
     return x / x.max(axis=axes, keepdims=True)
 
 
-def marginals(score: np.ndarray, fresh: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False):
+def marginals(score: np.ndarray, fresh: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None, product_only: bool = False):
     """Posterior of each position's label; with ``pairs`` also expected transition counts, start counts and the log-likelihood's
-    normaliser. ``fresh`` marks the positions at which a chain begins."""
+    normaliser. ``fresh`` marks the positions at which a chain begins. Inside a chain, ``before`` is the forward message of the position
+    before and ``after`` the backward message of the last one; ``product_only`` gives the positions' transition product instead."""
     n, k = score.shape
     if not n:
-        return (score, np.zeros((k, k)), np.zeros(k), 0.0) if pairs else score
+        return np.eye(k) if product_only else (score, np.zeros((k, k)), np.zeros(k), 0.0) if pairs else score
     top = score.max(1, keepdims=True)
     a_top, s_top = transition.max(), start.max()
     a, s = np.exp(transition - a_top), np.exp(start - s_top)
@@ -112,14 +116,20 @@ def marginals(score: np.ndarray, fresh: np.ndarray, transition: np.ndarray, star
     product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
     for t in range(BLOCK):
         product = _scaled(forward(product, t), (1, 2))
+    if product_only:
+        whole = np.eye(k)
+        for b in range(blocks):
+            whole = whole @ product[b]
+            whole /= whole.max()
+        return whole
     enter = np.empty((blocks, k))
-    vector = np.full(k, 1.0 / k)
+    vector = np.full(k, 1.0 / k) if before is None else before
     for b in range(blocks):
         enter[b] = vector
         vector = vector @ product[b]
         vector /= vector.sum()
     leave = np.empty((blocks, k))
-    vector = np.ones(k)
+    vector = np.ones(k) if after is None else after
     for b in range(blocks - 1, -1, -1):
         leave[b] = vector
         vector = product[b] @ vector
@@ -135,14 +145,14 @@ def marginals(score: np.ndarray, fresh: np.ndarray, transition: np.ndarray, star
         x = x / total
         alpha[t] = x
     out = np.empty((BLOCK, blocks, k))
-    before = np.empty((BLOCK, blocks, k)) if pairs else None
+    right_hand = np.empty((BLOCK, blocks, k)) if pairs else None
     beta = leave
     for t in range(BLOCK - 1, -1, -1):
         p = alpha[t] * beta
         out[t] = p / p.sum(1, keepdims=True)
         eb = e[t] * beta
         if pairs:
-            before[t] = eb
+            right_hand[t] = eb
         moved = eb @ a.T
         at = new[t]
         if at.any():
@@ -153,7 +163,7 @@ def marginals(score: np.ndarray, fresh: np.ndarray, transition: np.ndarray, star
     if not pairs:
         return post
     al = alpha.swapaxes(0, 1).reshape(-1, k)[:n]
-    eb = before.swapaxes(0, 1).reshape(-1, k)[:n]
+    eb = right_hand.swapaxes(0, 1).reshape(-1, k)[:n]
     inner = np.flatnonzero(~fresh)
     inner = inner[inner > 0]
     left, right = al[inner - 1], eb[inner]
@@ -251,15 +261,13 @@ _ENOUGH = 12
 
 
 class Tagger:
-    def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(len(model.labels), dtype=np.float32)
+    def __init__(self, model: Model, step: int = STEP_BYTES):
+        self.model, self.step, self.memo = model, step, Memo(len(model.labels), dtype=np.float32)
 
-    def words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and rows of the words of a UTF-8 buffer, and each word's label marginals."""
-        low, start, end = letters(buf, offs)
+    def scores(self, buf: np.ndarray, offs: np.ndarray, last: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and rows of the words of a UTF-8 buffer, and each word's emission scores."""
+        low, start, end = letters(buf, offs, last)
         row = row_of(offs, start)
-        fresh = np.ones(len(start), bool)
-        fresh[1:] = row[1:] != row[:-1]
         if not len(start):
             return start, end, row, np.zeros((0, len(self.model.labels)))
         hashes, index, inverse = distinct_spans(low, start, end)
@@ -270,41 +278,103 @@ class Tagger:
         flat, first = features(low, start[fresh_words], end[fresh_words], self.model.buckets)
         rows[~known] = emissions(self.model.weights, flat, first)
         self.memo.add(hashes[~known], rows[~known])
-        score = rows[inverse].astype(np.float64)
+        return start, end, row, rows[inverse].astype(np.float64)
+
+    def words(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and rows of the words of a UTF-8 buffer, and each word's label marginals."""
+        start, end, row, score = self.scores(buf, offs)
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = row[1:] != row[:-1]
         return start, end, row, marginals(score, fresh, self.model.transition, self.model.start)
 
+    def _sums(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """(rows, 2, labels + 3): sums over a row's words and over its plain words: marginals by length, the largest marginal by length,
+        length, and number. A word beside a digit isn't plain."""
+        n, k = len(offs) - 1, len(self.model.labels)
+        if n == 1 and len(buf) > self.step:
+            return self._long(buf)
+        start, end, row, post = self.words(buf, offs)
+        return self._add(buf, offs, start, end, row, post, n)
+
+    @staticmethod
+    def _add(buf: np.ndarray, offs: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, post: np.ndarray, n: int, left: bool = False, right: bool = False) -> np.ndarray:
+        k = post.shape[1]
+        out = np.zeros((n, 2, k + 3))
+        if not len(row):
+            return out
+        digit = np.concatenate([[False], (buf >= 48) & (buf <= 57), [False]])
+        digit[0], digit[-1] = left, right
+        plain = ~(((start > offs[row]) | left) & digit[start] | ((end < offs[row + 1]) | right) & digit[end + 1])
+        size = (end - start).astype(np.float64)
+        columns = [*(post[:, y] * size for y in range(k)), post.max(1) * size, size, np.ones(len(row))]
+        for c, values in enumerate(columns):
+            out[:, 0, c] = np.bincount(row, values, n)
+            out[:, 1, c] = np.bincount(row[plain], values[plain], n)
+        return out
+
+    def _long(self, buf: np.ndarray) -> np.ndarray:
+        """``_sums`` of one text in slices, by the messages of the whole chain."""
+        model = self.model
+        cuts = list(letter_slices(buf, self.step))
+        products: list[np.ndarray | None] = []
+        began = False
+        for a, b in cuts:
+            _, _, _, score = self.scores(buf[a:b], np.array([0, b - a]), int(buf[a - 1]) if a else 0)
+            fresh = np.zeros(len(score), bool)
+            fresh[:1] = not began
+            products.append(marginals(score, fresh, model.transition, model.start, product_only=True) if len(score) else None)
+            began |= len(score) > 0
+        k = len(model.labels)
+        after, vector = [np.ones(k)] * len(cuts), np.ones(k)
+        for i in range(len(cuts) - 1, -1, -1):
+            after[i] = vector
+            if products[i] is not None:
+                vector = products[i] @ vector
+                vector = vector / vector.max()
+        total, before, began = np.zeros((1, 2, k + 3)), np.full(k, 1.0 / k), False
+        for i, (a, b) in enumerate(cuts):
+            start, end, row, score = self.scores(buf[a:b], np.array([0, b - a]), int(buf[a - 1]) if a else 0)
+            if not len(score):
+                continue
+            fresh = np.zeros(len(score), bool)
+            fresh[0] = not began
+            began = True
+            post = marginals(score, fresh, model.transition, model.start, before=before, after=after[i])
+            before = before @ products[i]
+            before = before / before.sum()
+            digit = lambda p: bool(0 <= p < len(buf) and 48 <= buf[p] <= 57)
+            total += self._add(buf[a:b], np.array([0, b - a]), start, end, row, post, 1, digit(a - 1), digit(b))
+        return total
+
     def documents(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """(rows, labels) shares of the words' marginals, weighted by length; zeros for rows without words."""
-        return self._shares(*self.words(buf, offs), len(offs) - 1)
+        return self._shares(self._sums(buf, offs)[:, 0])
 
-    def _shares(self, start: np.ndarray, end: np.ndarray, row: np.ndarray, post: np.ndarray, n: int) -> np.ndarray:
-        size = (end - start).astype(np.float64)
-        total = np.stack([np.bincount(row, post[:, y] * size, n) for y in range(post.shape[1])], 1) if len(row) else np.zeros((n, len(self.model.labels)))
-        return total / np.maximum(total.sum(1, keepdims=True), 1e-300)
+    def _shares(self, sums: np.ndarray) -> np.ndarray:
+        total = sums[:, : len(self.model.labels)]
+        # A word's marginals depend in their last bits on where its blocks begin: equal texts get equal shares.
+        return np.round(total / np.maximum(total.sum(1, keepdims=True), 1e-300), 9)
 
     def certainty(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``documents`` and each row's certainty: 0 when its shares are even, whatever the number of labels, and 1 when one label
         has all. In rows of ``_ENOUGH`` words or more it falls with the square of how sure the words are, on the same scale: words of
         no known language may lean to one label together, but no single one is sure. Letter runs beside a digit (hashes, ids) are left
         out where a row has others. With one label nothing can be told: 1."""
-        start, end, row, post = self.words(buf, offs)
-        n, k = len(offs) - 1, len(self.model.labels)
-        share = self._shares(start, end, row, post, n)
+        sums = self._sums(buf, offs)
+        share, k = self._shares(sums[:, 0]), len(self.model.labels)
         if k < 2:
-            return share, np.ones(n)
-        digit = np.concatenate([(buf >= 48) & (buf <= 57), [False]])
-        plain = ~(((start > offs[row]) & digit[start - 1]) | ((end < offs[row + 1]) & digit[end]))
-        plain |= (np.bincount(row[plain], minlength=n) == 0)[row]
-        start, end, row, post = start[plain], end[plain], row[plain], post[plain]
+            return share, np.ones(len(share))
+        used = np.where(sums[:, 1:2, -1] > 0, sums[:, 1], sums[:, 0])
         above = lambda x: np.clip((k * x - 1) / (k - 1), 0, 1)
-        size = (end - start).astype(np.float64)
-        sure = np.bincount(row, post.max(1) * size, n) / np.maximum(np.bincount(row, size, n), 1)
-        return share, above(self._shares(start, end, row, post, n).max(1)) * np.where(np.bincount(row, minlength=n) >= _ENOUGH, above(sure) ** 2, 1)
+        sure = used[:, k] / np.maximum(used[:, k + 1], 1)
+        return share, above(self._shares(used).max(1)) * np.where(used[:, -1] >= _ENOUGH, above(sure) ** 2, 1)
 
 
-def fit(docs: DataFrame, train_rows: int = 1500, key: str = "doc_id") -> Model | None:
-    """Train on at most ``train_rows`` rows with a label and a text, the ones of smallest key hash."""
-    sample = bounded_sample(docs.filter("lang is not null").select(key, "text", "lang"), key, train_rows).filter("text is not null").collect()
+def fit(docs: DataFrame, train_rows: int = 1500, key: str = "doc_id", longest: int = 200_000) -> Model | None:
+    """Train on at most ``train_rows`` rows with a label and a text of at most ``longest`` bytes: as many of each language as far as it
+    has them, the ones of smallest key hash."""
+    rows = docs.filter((F.col("lang").isNotNull()) & (F.octet_length("text") <= longest)).select(key, "text", "lang")
+    sample = bounded_sample(rows, key, train_rows, label="lang").collect()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
@@ -315,8 +385,11 @@ def predict(tagger: Tagger, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
 
 def _labelled(tagger: Tagger, buf: np.ndarray, offs: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # Non-ASCII bytes need not be letters: texts without an ASCII letter are looked at one by one.
-    ascii_letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
-    some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[offs]) > 0
+    if len(offs) == 2:
+        some = np.array([any((((part := buf[a : a + STEP_BYTES] | 32) >= 97) & (part <= 122)).any() for a in range(0, len(buf), STEP_BYTES))])
+    else:
+        ascii_letter = ((buf | 32) >= 97) & ((buf | 32) <= 122)
+        some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[offs]) > 0
     for r in np.flatnonzero(~some & (offs[1:] > offs[:-1])):
         some[r] = any(c.isalpha() for c in buf[offs[r] : offs[r + 1]].tobytes().decode())
     names = np.array(tagger.model.labels, object)

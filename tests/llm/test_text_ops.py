@@ -317,6 +317,73 @@ def test_certainty_has_one_scale_for_any_number_of_labels():
         assert np.allclose(share[0], 1 / k) and np.allclose(sure, 0)
 
 
+def random_model(k, seed=0, buckets=1 << 12):
+    rng = np.random.default_rng(seed)
+    return language_id.Model(list("abcdef")[:k], rng.normal(size=(buckets, k)).astype(np.float32), rng.normal(size=(k, k)), rng.normal(size=k))
+
+
+def test_long_texts_keep_the_whole_chain(monkeypatch):
+    monkeypatch.setattr(common, "LONGEST_WORD", 8)
+    monkeypatch.setattr(language_id, "BLOCK", 4)
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdeÉé  .,1\n") for _ in range(r.randint(0, 600))) for _ in range(8)] + ["x" * 100, "1 " * 60, "ab 12cd " * 30, "Aé" * 40]
+    for k in (1, 2, 4):
+        whole = language_id.Tagger(random_model(k), 1 << 20)
+        for step in (8, 16, 64):
+            sliced = language_id.Tagger(random_model(k), step)
+            for t in texts:
+                for a, b in zip(whole.certainty(*buffers([t])), sliced.certainty(*buffers([t]))):
+                    assert np.allclose(a, b), (t, step)
+                assert np.allclose(whole.documents(*buffers([t])), sliced.documents(*buffers([t])))
+
+
+def test_emissions_and_shares_against_a_plain_version():
+    """Features by their definition, word by word, and a document's shares from the chain's own marginals."""
+    model = random_model(3)
+    texts = ["Été a bc", "one two three three", "", "x1y zz"]
+
+    def plain_features(word):
+        raw, out = word.encode(), []
+        index = lambda kind, b: int(common.mix(np.array([common.hash_text(b) ^ (0x9E3779B97F4A7C15 * (kind + 1)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]) % model.buckets
+        out.append(index(0, raw))
+        for n in (1, 2, 3, 4):
+            if len(raw) >= n:
+                out += [index(n, raw[:n]), index(10 + n, raw[-n:])]
+        for n in (2, 3):
+            out += [index(20 + n, raw[i : i + n]) for i in range(len(raw) - n + 1)]
+        return out
+
+    got = language_id.Tagger(model).documents(*buffers(texts))
+    for t, share in zip(texts, got):
+        found = re.findall(r"[A-Za-z\x80-\U0010ffff]+", t.lower())
+        score = np.array([model.weights[plain_features(w)].sum(0, dtype=np.float64) for w in found]).reshape(-1, 3)
+        fresh = np.zeros(len(found), bool)
+        fresh[:1] = True
+        post = language_id.marginals(score, fresh, model.transition, model.start)
+        size = np.array([len(w.encode()) for w in found], float)
+        want = (post * size[:, None]).sum(0) / size.sum() if found else np.zeros(3)
+        assert np.allclose(share, want, atol=1e-5)
+
+
+def test_sample_has_every_label(spark):
+    rows = [(k, "rare" if k % 500 == 7 else "b" if k % 3 else "a") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = common.bounded_sample(df.repartition(3), "doc_id", 90, label="lang").collect()
+    counts = {x: sum(r["lang"] == x for r in got) for x in ("a", "b", "rare")}
+    assert counts == {"a": 30, "b": 30, "rare": 10} and {r["lang"] for r in got[:3]} == {"a", "b", "rare"}
+    assert got == common.bounded_sample(df.coalesce(1), "doc_id", 90, label="lang").collect()
+    assert common.bounded_sample(df.limit(0), "doc_id", 90, label="lang").count() == 0
+
+
+def test_language_query(spark):
+    out = language_id.op1_language_id(spark, "/root/testdata/sf0.001")
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    rows = out.collect()
+    docs = {r["doc_id"]: r for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    assert len(rows) == len(docs) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in rows) > 0.97 * len(rows)
+
+
 # -- toxicity
 
 
