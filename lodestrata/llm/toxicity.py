@@ -4,14 +4,16 @@
    has them, repeated, in toxic than in other texts, next to a small fixed word list. Each entry votes "toxic" when a text has it
    at least once, another voter when it has it twice; pattern voters look at the density, the variety and the repetition of hits;
    silence of all entries is a voter for "clean".
-2. Label model. Expectation-maximisation estimates each voter's rates in either class, starting from the sample's labels, which
-   stay as one more noisy voter. Correlations of voters beyond what the class explains are measured from the residuals, and a voter
-   shares its weight with the voters it is correlated to, so nested entries do not count as independent evidence.
-3. Classifier. A logistic regression on smooth features of the same hits is trained on the posterior labels; it scores all texts.
+2. Label model. A generative model in which each voter depends on the class and on one other voter: the tree of the strongest
+   dependencies given the class (conditional mutual information), learned with all rates by expectation-maximisation. A nested entry
+   tells little beyond the voter it depends on, so it is not counted twice. The sample's labels are one more voter while the model is
+   fitted, with rates that are estimated like any other's; the posteriors come from the lexicon and pattern voters alone. Rows without
+   a label take part as well.
+3. Classifier. A logistic regression on smooth features of the same hits is trained on the posteriors; it scores all texts.
 
 Scoring is one narrow numpy pass: hashes of all words and beginnings are looked up in the sorted lexicon.
 
-Defined results: null and empty texts get the score of a text without any hit; without labelled rows only the fixed list counts;
+A text of more than ``STEP_BYTES`` is counted in slices that cut no word. Defined results: null and empty texts get the score of a text without any hit; without labelled rows only the fixed list counts;
 equal texts get equal scores; repeated rows stay; an empty table stays empty; other columns are ignored.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_sample, crc_mod, hash_text, letters, map_batches, mix, row_of, steps, table, utf8
+from .common import STEP_BYTES, Rolling, bounded_sample, crc_mod, hash_text, letter_slices, letters, map_batches, mix, row_of, steps, table, utf8
 
 #: Fixed entries, in use whatever the labels say.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumb", "vermin", "filth")
@@ -51,12 +53,11 @@ class Model:
     polarity: np.ndarray  # log-odds of each entry
     weights: np.ndarray
     bias: float
-    family: np.ndarray  # entries with the same family overlap; a family counts once per word
 
 
-def hits(keys: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hits(keys: np.ndarray, buf: np.ndarray, offs: np.ndarray, last: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word, entry) of each match, each word's row, and words per row."""
-    low, start, end = letters(buf, offs)
+    low, start, end = letters(buf, offs, last)
     row = row_of(offs, start)
     n = len(offs) - 1
     words, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -74,7 +75,15 @@ def hits(keys: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarra
 def counts(keys: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, entries) counts and words per row."""
     n = len(offs) - 1
-    word, entry, row, size = hits(keys, buf, offs)
+    if n == 1 and len(buf) > STEP_BYTES:
+        parts = [_counts(keys, buf[a:b], np.array([0, b - a]), int(buf[a - 1]) if a else 0) for a, b in letter_slices(buf)]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+    return _counts(keys, buf, offs)
+
+
+def _counts(keys: np.ndarray, buf: np.ndarray, offs: np.ndarray, last: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    n = len(offs) - 1
+    word, entry, row, size = hits(keys, buf, offs, last)
     flat = np.bincount(row[word] * len(keys) + entry, minlength=n * len(keys)) if len(keys) else np.zeros(0)
     return flat.reshape(n, len(keys)).astype(np.float64), size
 
@@ -105,38 +114,66 @@ def features(count: np.ndarray, size: np.ndarray, polarity: np.ndarray) -> np.nd
 
 
 class LabelModel:
-    """A generative model of conditionally dependent voters with abstention."""
+    """Class -> voters in {-1, 0, 1}, each with the class and at most one other voter as parents."""
 
-    def fit(self, vote: np.ndarray, label: np.ndarray, rounds: int = 20, trust: float = 0.97) -> LabelModel:
+    def fit(self, vote: np.ndarray, label: np.ndarray, rounds: int = 20, relearn: int = 5) -> LabelModel:
+        """``label``: 1, 0 or -1 for unknown. The tree is learned anew every ``relearn`` rounds; dependencies that chance would show among
+        so many rows (10 / rows) are left out."""
         n, m = vote.shape
-        self.prior = float(np.clip(label.mean(), 1e-3, 1 - 1e-3)) if n else 0.1
-        post = np.where(label == 1, trust, 1 - trust)
-        self.discount = np.ones(m)
-        noisy = np.where(label == 1, 1.0, -1.0) * np.log(trust / (1 - trust))
+        least = 10 / max(n, 1)
+        known = label >= 0
+        self.prior = float(np.clip((label[known] == 1).mean(), 1e-3, 1 - 1e-3)) if known.any() else 0.1
+        post = np.where(known, label, np.where((vote > 0).sum(1) > (vote < 0).sum(1), 0.5, self.prior * 0.5)).astype(np.float64)
+        one_hot = (vote[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(np.float32)
+        said = (label[:, None] == np.array([0, 1])).astype(np.float64)  # unknown: neither
         for k in range(rounds):
-            self.rates = np.empty((2, m, 3))
-            for y, p in ((1, post), (0, 1 - post)):
-                for c, v in enumerate((-1, 0, 1)):
-                    self.rates[y, :, c] = ((vote == v) * p[:, None]).sum(0) + 1
-                self.rates[y] /= self.rates[y].sum(1, keepdims=True)
-            if not k:  # while the labels alone speak: later posteriors lean on the very voters in question
-                self._correlate(vote, post)
+            joint = np.stack([((one_hot * p[:, None].astype(np.float32)).T @ one_hot).astype(np.float64).reshape(m, 3, m, 3) for p in (1 - post, post)])
+            if k % relearn == 0:
+                self._tree(joint, least)
+            self._rates(joint)
             self.prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
-            post = self.posterior(vote, noisy)
+            # The labels as a voter: how often it says 0 or 1 in either class.
+            accuracy = np.stack([said.T @ (1 - post), said.T @ post]) + 1
+            accuracy /= accuracy.sum(1, keepdims=True)
+            self.label_rates = accuracy
+            post = self.posterior(vote, said @ np.log(accuracy[1] / accuracy[0]))
         return self
 
-    def _correlate(self, vote: np.ndarray, post: np.ndarray) -> None:
-        mean = {y: self.rates[y] @ np.array([-1.0, 0, 1]) for y in (0, 1)}
-        rest = vote - (post[:, None] * mean[1] + (1 - post)[:, None] * mean[0])
-        scale = np.sqrt((rest**2).mean(0)) + 1e-6
-        self.correlation = (rest.T @ rest) / len(vote) / np.outer(scale, scale)
-        near = np.abs(self.correlation)
-        np.fill_diagonal(near, 0)
-        self.discount = 1 / (1 + np.where(near > 0.1, near, 0).sum(1))
+    def _tree(self, joint: np.ndarray, least: float) -> None:
+        """Parents by the maximum spanning tree of the voters' mutual information given the class."""
+        m = joint.shape[1]
+        both = joint.transpose(0, 1, 3, 2, 4) + 0.1  # class, j, k, value of j, value of k
+        both /= both.sum((0, 3, 4), keepdims=True)
+        j, k = both.sum(4, keepdims=True), both.sum(3, keepdims=True)
+        y = j.sum(3, keepdims=True)
+        self.dependence = (both * np.log(both * y / (j * k))).sum((0, 3, 4))
+        np.fill_diagonal(self.dependence, 0)
+        self.parent = np.full(m, -1)
+        best, source = np.full(m, -1.0), np.full(m, -1)
+        done = np.zeros(m, bool)
+        for _ in range(m):
+            at = int(np.where(done, -2, best).argmax())
+            done[at] = True
+            if best[at] >= least:
+                self.parent[at] = source[at]
+            closer = ~done & (self.dependence[at] > best)
+            best[closer], source[closer] = self.dependence[at][closer], at
+
+    def _rates(self, joint: np.ndarray) -> None:
+        """Log-rates of each voter's value given the class and its parent's value: (class, voter, parent's value, value)."""
+        m = joint.shape[1]
+        every = np.arange(m)
+        alone = joint[:, every, :, every, :].transpose(1, 0, 2, 3).diagonal(axis1=2, axis2=3) + 1.0
+        alone /= alone.sum(2, keepdims=True)
+        given = joint[:, self.parent, :, every, :].transpose(1, 0, 2, 3) + 2 * alone[:, :, None, :]
+        given /= given.sum(3, keepdims=True)
+        self.rates = np.log(np.where((self.parent >= 0)[None, :, None, None], given, alone[:, :, None, :]))
 
     def posterior(self, vote: np.ndarray, extra: np.ndarray | float = 0.0) -> np.ndarray:
-        ratio = np.log(self.rates[1] / self.rates[0]) * self.discount[:, None]
-        z = np.log(self.prior / (1 - self.prior)) + extra + sum(ratio[j][vote[:, j] + 1] for j in range(vote.shape[1]))
+        """Probability of the class 1 from the votes."""
+        ratio = self.rates[1] - self.rates[0]
+        above = np.where(self.parent >= 0, vote[:, self.parent], 0) + 1
+        z = np.log(self.prior / (1 - self.prior)) + extra + sum(ratio[j, above[:, j], vote[:, j] + 1] for j in range(vote.shape[1]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -201,16 +238,14 @@ def train(texts: list[str | None], label: list[int], entries: int = 96) -> Model
     keys, odds = np.concatenate([keys, fixed]), np.concatenate([odds, np.full(len(fixed), 3.0)])
     order = np.argsort(keys)
     keys, odds = keys[order], odds[order]
-    model = Model(keys, odds, np.zeros(8 + len(keys)), -3.0, np.arange(len(keys)))
+    model = Model(keys, odds, np.zeros(8 + len(keys)), -3.0)
     model.weights[:3] = (1.5, 1.0, -1.0)
     if len(y) and 0 < y.sum() < len(y):
         buf, offs = utf8(column)
         parts = [counts(keys, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in steps(offs)]
         count, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         vote = votes(count, size, odds)
-        soft = LabelModel().fit(vote, y)
-        noisy = np.where(y == 1, 1.0, -1.0) * np.log(0.97 / 0.03)
-        model.weights, model.bias = _logistic(features(count, size, odds), soft.posterior(vote, noisy))
+        model.weights, model.bias = _logistic(features(count, size, odds), LabelModel().fit(vote, y).posterior(vote))
     return model
 
 
@@ -220,10 +255,12 @@ def score_buffer(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> Model:
-    """Train on at most ``train_rows`` labelled rows, the ones of smallest id hash; a document with several labels counts as toxic if one says so."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, longest: int = 200_000) -> Model:
+    """Train on at most ``train_rows`` labelled rows, the ones of smallest id hash, of texts of at most ``longest`` bytes; a document with
+    several labels counts as toxic if one says so, of documents that share an id one text (the first in order) is used."""
     marks = bounded_sample(labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id", train_rows)
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic").collect()
+    texts = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic").collect()
     rows.sort()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 

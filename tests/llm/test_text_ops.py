@@ -416,14 +416,77 @@ def test_toxicity_trains_on_six_thousand_rows(spark, monkeypatch):
 
 
 def test_label_model_discounts_copies():
+    """Copies of a voter hang on it in the tree and add nothing to the posterior."""
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 3000)
     good = np.where(rng.random(3000) < 0.85, 2 * y - 1, 1 - 2 * y)
     other = np.where(rng.random(3000) < 0.8, 2 * y - 1, 1 - 2 * y)
-    vote = np.stack([good, good, good, other, np.zeros(3000, int)], 1)
+    third = np.where(rng.random(3000) < 0.75, 2 * y - 1, 1 - 2 * y)
+    vote = np.stack([good, good, good, other, np.zeros(3000, int), third], 1)
     m = toxicity.LabelModel().fit(vote, y)
-    assert m.discount[0] < 0.5 < m.discount[3] and m.correlation[0, 1] > 0.95
-    assert abs(m.rates[1][0][2] - 0.85) < 0.05 and ((m.posterior(vote) > 0.5) == y).mean() > 0.8
+    assert m.dependence[0, 1] > 0.2 > 0.01 > m.dependence[0, 3] and sorted((m.parent[[0, 1, 2]] >= 0).tolist()) == [False, True, True] and m.parent[3] < 0
+    assert abs(np.exp(m.rates[1][3, 1, 2]) - 0.8) < 0.05 and abs(m.label_rates[1, 1] - 1) < 0.05
+    alone = toxicity.LabelModel().fit(vote[:, [0, 3, 5]], y)
+    assert np.abs(m.posterior(vote) - alone.posterior(vote[:, [0, 3, 5]])).max() < 0.05
+    # By the definition: prior times the voters' rates given their parents.
+    for i in range(50):
+        odds = m.prior / (1 - m.prior)
+        for j in range(6):
+            above = vote[i, m.parent[j]] + 1 if m.parent[j] >= 0 else 1
+            odds *= np.exp(m.rates[1][j, above, vote[i, j] + 1] - m.rates[0][j, above, vote[i, j] + 1])
+        assert np.isclose(m.posterior(vote)[i], odds / (1 + odds))
+
+
+def test_label_model_without_labels():
+    """Accuracies of independent voters are found from their agreement alone."""
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.4
+    accuracy = [0.9, 0.8, 0.75, 0.85, 0.7]
+    vote = np.stack([np.where(rng.random(4000) < a, 2 * y - 1, 1 - 2 * y) for a in accuracy], 1)
+    m = toxicity.LabelModel().fit(vote, np.full(4000, -1), rounds=60)
+    found = np.exp([m.rates[1][j, 1, 2] for j in range(5)])
+    assert ((m.posterior(vote) > 0.5) == y).mean() > 0.9 and np.abs(found - accuracy).max() < 0.12
+
+
+def test_toxicity_posterior_is_not_the_label(spark):
+    """The labels don't enter the posteriors: a flipped label keeps nearly the posterior that its votes give."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 2000)
+    vote = np.stack([np.where(rng.random(2000) < a, 2 * y - 1, 1 - 2 * y) for a in (0.9, 0.85, 0.8, 0.8)], 1)
+    flipped = np.where(rng.random(2000) < 0.1, 1 - y, y)
+    m = toxicity.LabelModel().fit(vote, flipped)
+    assert abs(m.label_rates[1, 1] - 0.9) < 0.05 and ((m.posterior(vote) > 0.5) == y).mean() > ((m.posterior(vote) > 0.5) == flipped).mean() > 0.8
+
+
+def test_hits_and_counts_against_a_plain_version(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abÉé") for _ in range(r.randint(1, 10))) for _ in range(40)]
+    texts = ["", "12 !"] + [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(30)]
+
+    def units(word):
+        raw = word.lower().encode()
+        return {(0, raw), *((n, raw[:n]) for n in (4, 5, 6, 7, 8) if len(raw) >= n)}
+
+    key = lambda n, raw: int(common.mix(np.array([common.hash_text(raw) ^ (0xD1B54A32D192ED03 * (n + 1)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+    lexicon = r.sample(sorted(set().union(*map(units, words))), 25)
+    order = sorted(range(25), key=lambda k: key(*lexicon[k]))
+    keys = np.array([key(*lexicon[k]) for k in order], np.uint64)
+    want = [[sum(lexicon[k] in units(w) for w in t.split() if w[0].isalpha()) for k in order] for t in texts]
+    count, size = toxicity.counts(keys, *buffers(texts))
+    assert count.tolist() == want and size.tolist() == [sum(w[0].isalpha() for w in t.split()) for t in texts]
+    monkeypatch.setattr(common, "LONGEST_WORD", 64)
+    monkeypatch.setattr(toxicity, "STEP_BYTES", 64)
+    monkeypatch.setattr(toxicity, "letter_slices", lambda buf: common.letter_slices(buf, 64))
+    for t, row in zip(texts, want):
+        assert toxicity.counts(keys, *buffers([t]))[0].tolist() == [row]
+
+
+def test_toxicity_query(spark):
+    out = toxicity.op9_toxicity(spark, "/root/testdata/sf0.001")
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = out.collect()
+    assert len(rows) == common.table(spark, "/root/testdata/sf0.001", "documents").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
 # -- secrets
