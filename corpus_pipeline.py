@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become a mask in the text; the document stays and n_chars follows."""
-    masked = secrets.redact(docs.select(*COLUMNS))
+    masked = secrets.redact(docs.select(*COLUMNS), secrets.fit(docs))
     return masked.withColumn("n_chars", F.when(F.contains("text", F.lit(secrets.MASK)), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
 
 

@@ -504,7 +504,7 @@ def test_secret_candidates_and_scores(spark):
     assert red.columns == frame(spark, texts).columns and [r["text"] for r in red.orderBy("doc_id").collect()] == [rows[k]["masked"] for k in range(len(texts))]
     assert secrets.scan(frame(spark, ODD).limit(0)).count() == 0 and secrets.scan(frame(spark, ODD)).count() == len(ODD)
     own = secrets.generated_findings(800, 99)
-    x = np.array([secrets.describe(t[a:b], t[max(0, a - 60) : a], t[b : b + 10]) for t, a, b, _ in own])
+    x = np.array([secrets.describe(t[a:b], t[max(0, a - 60) : a], t[b : b + 10], secrets.language_of([])) for t, a, b, _ in own])
     assert ((forest.predict(x) >= 0.5) == np.array([y for *_, y in own])).mean() > 0.97
 
 
@@ -521,8 +521,47 @@ def test_every_planted_token_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {(r["doc_id"], m.encode()) for r in docs.collect() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', r["text"])}
     text = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
-    got = {(r["doc_id"], text[r["doc_id"]][f["begin"] : f["end"]]) for r in secrets.scan(docs).collect() for f in r["findings"]}
-    assert truth and truth == got
+    for forest in (None, secrets.fit(docs)):
+        got = {(r["doc_id"], text[r["doc_id"]][f["begin"] : f["end"]]) for r in secrets.scan(docs, forest).collect() for f in r["findings"]}
+        assert truth and truth == got
+
+
+def test_long_texts_are_scanned_in_slices():
+    r = random.Random(2)
+    bits = ["password = ", "api_key: ", '"', "hunter2!x ", "\n", "\n", " the house ", "a" * 20 + "1", "AKIA" + "Q7" * 8, "=", ":", " ", "token=" + "f" * 30 + "9\n", "path/to/some/file1.txt "]
+    for _ in range(60):
+        t = "\n".join("".join(r.choice(bits) for _ in range(r.randint(0, 8))) for _ in range(12))
+        buf, offs = buffers([t])
+        want = secrets.candidates(buf, offs)
+        for step in (120, 400):
+            if max(map(len, t.split("\n"))) < step:
+                got = secrets.candidates(buf, offs, step)
+                assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_features_by_their_definition():
+    language = secrets.language_of(["the house of cards", "the house and the garden"])
+    assert {"the", "house"} <= language.words and "garden" not in language.words
+    assert language.coverage("theHouse9thehouse") == len("theHouse") + len("thehouse") and language.coverage("xqz/HOUSE") == 5
+    assert language.likelihood("house") > language.likelihood("hqzxe") and language.likelihood("1234") == 0
+    x = secrets.describe("aB3/the", 'token = "', '" next', language)
+    assert len(x) == secrets._FEATURES and x[0] == 7 and x[2] == 1 / 7 and x[3] == 1 / 7 and x[7] == 3 / 7 and x[13] == 1 and x[17] == 1 and x[18] == 1
+    kinds = [secrets.describe(t, b, "", language) for t, b in (("0" * 40, "sha1 "), ("a1" * 8, "https://"))]
+    assert kinds[0][19] == 1 and kinds[0][24] == 1 and kinds[1][20] == 1 and kinds[0][10] == 1
+
+
+def test_formats_left_out_of_training():
+    found = secrets.held_out_formats(n=1200)
+    assert found["precision"] > 0.75 and found["recall"] > 0.65
+
+
+def test_secret_query(spark):
+    rows = secrets.op5_secret_scan(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r["text"] for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        spans = [(f["begin"], f["end"]) for f in r["findings"]]
+        assert len(spans) == r["n_secrets"] <= r["n_candidates"] and spans == sorted(spans) and all(0 <= a < b <= len(docs[r["doc_id"]].encode()) for a, b in spans)
 
 
 def test_forest_learns_an_interaction():
