@@ -5,7 +5,8 @@ the bytes, and, whatever their length and characters, the values that follow a k
 forest sees its length, entropy and character classes, how likely its character transitions are in ordinary words, how much of it
 dictionary words cover, whether it lies in a path, URL or e-mail address, and which words stand next to it.
 
-The dictionary and the transitions are learned from a bounded sample of the texts at hand (``learn_language``). The forest is trained
+The dictionary and the transitions are learned from all the texts at hand (``learn_language``): a word is in the dictionary if one in
+500 of the texts that have words has it, and two at least. The forest is trained
 from labelled findings: the caller's (``findings``: text, begin, end, label) or those that ``generated_findings`` makes from a fixed
 seed after public formats of keys on the one side and of hashes, ids, numbers, paths and placeholders on the other, with words of the
 dictionary. ``held_out_formats`` measures what it makes of formats that it was not trained on.
@@ -19,7 +20,8 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, bounded_sample, map_batches, runs, small_batches, steps, table, utf8
+from .common import STEP_BYTES, map_batches, runs, save, small_batches, steps, table, utf8
 
 SHORTEST = 16
 MASK = "[REDACTED]"
@@ -76,13 +78,35 @@ class Language:
 _PARTS = re.compile(r"[A-Z]?[a-zà-ÿ]{2,}|[A-Z]{3,}")
 
 
-def language_of(texts: Iterable[str], least: int = 2, most: int = 50_000) -> Language:
-    """From texts: words that ``least`` of them have, the ``most`` frequent ones at most, and transitions inside words."""
-    seen: dict[str, int] = {}
+_WORD = re.compile(r"[a-zà-ÿ]{3,20}(?![\w])")
+_OTHER = re.compile(r"\W")
+
+#: Words that a task counts before it hands its counts on.
+COUNTED_WORDS = 200_000
+
+
+def words_of(text: str, step: int = STEP_BYTES) -> set[str]:
+    """Words of three to 20 letters; a long text goes in slices that end outside of words."""
+    found, at = set(), 0
+    while at < len(text):
+        cut = _OTHER.search(text, at + step)
+        stop = cut.end() if cut else len(text)
+        found.update(_WORD.findall(text[at:stop].lower()))
+        at = stop
+    return found
+
+
+def language_of(texts: Iterable[str], least: int = 2, rare: int = 500) -> Language:
+    """From texts: words that ``least`` of them have, and one in ``rare`` of those with words, and transitions inside these words."""
+    seen, n = Counter(), 0
     for t in texts:
-        for w in set(re.findall(r"[a-zà-ÿ]{3,20}(?![\w])", t.lower())):
-            seen[w] = seen.get(w, 0) + 1
-    known = sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-seen[w], w))[:most]
+        found = words_of(t)
+        seen.update(found)
+        n += bool(found)
+    return _language([w for w, k in seen.items() if k >= least and k * rare >= n])
+
+
+def _language(known: list[str]) -> Language:
     words = frozenset(known) | _WORDS
     counts = np.full((27, 27), 0.5)
     for w in sorted(words):
@@ -94,10 +118,37 @@ def language_of(texts: Iterable[str], least: int = 2, most: int = 50_000) -> Lan
     return Language(words, np.log(counts / counts.sum(1, keepdims=True) * 27))
 
 
-def learn_language(docs: DataFrame, rows: int = 1000, longest: int = 20_000) -> Language:
-    """From at most ``rows`` texts of at most ``longest`` bytes, those of smallest hash of their id."""
-    texts = docs.filter(F.octet_length("text") <= longest).select("doc_id", "text")
-    return language_of([r["text"] for r in bounded_sample(texts, "doc_id", rows).collect()])
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how many texts have it; the empty word stands for the texts that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            buf, offs = utf8(batch.column(0))
+            for a, b in zip(offs.tolist(), offs[1:].tolist()):
+                found = words_of(buf[a:b].tobytes().decode("utf-8", "replace"))
+                if found:
+                    seen.update(found)
+                    seen[""] += 1
+                if len(seen) > COUNTED_WORDS:
+                    yield flush()
+                    seen.clear()
+        if seen:
+            yield flush()
+
+    small_batches(docs.sparkSession)
+    counts = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def learn_language(docs: DataFrame, least: int = 2, rare: int = 500) -> Language:
+    """``language_of`` all the texts. The dictionary doesn't grow with their number: it has at most ``rare`` times as many words as a
+    text has on average."""
+    counts = save(word_counts(docs).filter((F.col("n") >= least) | (F.col("word") == "")), "words")
+    n = counts.filter(F.col("word") == "").agg(F.sum("n")).first()[0] or 0
+    known = counts.filter((F.col("word") != "") & (F.col("n") >= least) & (F.col("n") * rare >= n))
+    return _language([r["word"] for r in known.select("word").collect()])
 
 
 def assigned(buf: np.ndarray, offs: np.ndarray, low: int = 0, high: int | None = None, last: int = 0) -> list[tuple[int, int, int]]:

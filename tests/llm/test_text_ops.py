@@ -550,6 +550,36 @@ def test_features_by_their_definition():
     assert kinds[0][19] == 1 and kinds[0][24] == 1 and kinds[1][20] == 1 and kinds[0][10] == 1
 
 
+def test_language_is_learned_from_all_texts(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    enough, short = [word() for _ in range(60)], [word() for _ in range(60)]
+    texts = [["the house of cards"] for _ in range(2400)]
+    for words, n in ((enough, 5), (short, 4)):  # one in 500 texts are 5 of 2400
+        for w in words:
+            for k in r.sample(range(2400), n):
+                texts[k] += [w, w.title()]
+    late = [word() for _ in range(20)]
+    for k in range(5):
+        texts[k] += ["9 . " * 6000, *late]
+    texts = [" ".join(t) for t in texts] + [None, "", "42"] * 300
+    docs = spark.createDataFrame([(None if k % 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    learned = [secrets.learn_language(docs.repartition(n)) for n in (1, 5)]
+    assert learned[0].words == secrets._WORDS | {"the", "house", "cards", *enough, *late}
+    assert all(x.words == learned[0].words and (x.transitions == learned[0].transitions).all() for x in (learned[1], secrets.language_of(t or "" for t in texts)))
+    assert secrets.fit(docs).language.words == learned[0].words
+
+
+def test_language_of_more_words_than_any_bound(spark, monkeypatch):
+    texts = [" ".join(f"{a}{b}{c}{d}{last}" for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz" for d in "aeiou") for last in "bcdfghjklmnpqrstvwxzaeioub"]
+    want = secrets.language_of(texts * 2).words
+    monkeypatch.setattr(secrets, "COUNTED_WORDS", 3000)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string")
+    assert len(want) > 60_000 and secrets.learn_language(docs).words == want
+    long = "\n".join(texts[:3]) + "É" * 50 + " bé9 " + "x" * 300
+    assert secrets.words_of(long, 100) == secrets.words_of(long) and len(secrets.words_of(long)) > 7000
+
+
 def test_formats_left_out_of_training():
     found = secrets.held_out_formats(n=1200)
     assert found["precision"] > 0.75 and found["recall"] > 0.65
