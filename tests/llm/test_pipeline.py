@@ -1,11 +1,12 @@
 """The pipeline's stages against plain versions of their decisions."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lodestrata.llm import mixing, sentencepieces
+from lodestrata.llm import mixing, secrets, sentencepieces
 from tests.llm.test_dedup_mix_media_warc import plain_components, plain_print
 
 ROWS = [
@@ -53,6 +54,25 @@ def test_stages(spark):
     assert coded.count() == mixed.count()
 
 
+def test_secrets_are_masked_by_the_language_of_all_texts(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    enough, short = [word() for _ in range(40)], [word() for _ in range(40)]
+    texts = [["the house of cards"] for _ in range(2400)]
+    for words, n in ((enough, 5), (short, 4)):  # one in 500 texts are 5 of 2400
+        for w in words:
+            for k in r.sample(range(2400), n):
+                texts[k].append(w)
+    texts[7].append('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')
+    rows = [(None if k == 7 else k, " ".join(t), "en", "a", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    forests, redact = [], secrets.redact
+    monkeypatch.setattr(secrets, "redact", lambda docs, forest: forests.append(forest) or redact(docs, forest))
+    masked = P.mask_secrets(spark, docs, "").collect()
+    assert [f.language.words for f in forests] == [secrets._WORDS | {"the", "house", "cards", *enough}]
+    assert len(masked) == 2400 and [r["doc_id"] for r in masked if secrets.MASK in r["text"]] == [None]
+
+
 def test_stages_on_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (_, stage) in enumerate(P.STAGES):
