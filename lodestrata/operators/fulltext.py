@@ -9,7 +9,7 @@ Stop tokens: when there are more than ``most_entries`` postings (0: any number i
 the other until no more postings are left than that, at most ``most_ignored`` of them. Dropped tokens find nothing and their postings
 don't count for the weights of the others.
 
-``Index`` keeps the postings as a table bucketed by token hash, written once per snapshot; a search reads the few tokens it needs
+``Index`` keeps the postings as a table of lists sorted by token, written once per snapshot; a search reads the few tokens it needs
 through a pushed filter. ``scan`` ranks without an index in one pass over the lines. Only the query's tokens and one maximum are ever on the driver.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..schema import CollectionSchema
+from . import packing
 
 CUT = 20.0
 MOST_IGNORED = 100
@@ -108,49 +109,38 @@ def _bonus_column(query: list[str], at: dict[str, Column]) -> Column:
 
 
 class Index:
-    """Postings of one snapshot of a collection, in folders by a hash of the token: the more, the more data there is to read."""
+    """Postings of one snapshot of a collection. Stored, each task's are a file of lists (see ``packing``), sorted by token in runs, so
+    that a search finds a token's lists by the statistics of row groups and pages."""
 
-    #: Bytes of source that a folder's tokens come from, about, and the fewest folders.
-    FOLDER_BYTES = 256 << 20
-    FEWEST = 8
-
-    def __init__(self, posted: DataFrame, squeeze: bool = True, folders: int = 0):
-        self.posted, self.squeeze, self.folders = posted, squeeze, folders
+    def __init__(self, posted: DataFrame, squeeze: bool = True, packed: DataFrame | None = None):
+        self.posted, self.squeeze, self._packed = posted, squeeze, packed
 
     @staticmethod
-    def write(df: DataFrame, schema: CollectionSchema, path: str, squeeze: bool = True) -> int:
-        """Sorted by token inside hash folders, so that a token's row groups can be found by their statistics. Returns how many folders."""
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        folders = max(Index.FEWEST, math.ceil(size / Index.FOLDER_BYTES))
-        posted = postings(spread(lines(df, schema)), squeeze).withColumn("_b", F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int"))
-        # A frequent token may hold a large share of the postings: its rows are dealt out by key within the folder.
-        posted.repartition("_b", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("_b", "token").write.partitionBy("_b").parquet(path)
-        return folders
+    def write(df: DataFrame, schema: CollectionSchema, path: str, squeeze: bool = True) -> None:
+        """One pass over the lines, without a shuffle of postings."""
+        packing.pack(spread(lines(df, schema)), squeeze).write.parquet(path)
 
     @staticmethod
-    def read(spark: SparkSession, path: str, key: T.DataType, squeeze: bool = True, folders: int = 0) -> Index:
-        """``folders``: what ``write`` returned; 0 looks into all of them."""
-        struct = T.StructType([T.StructField("token", T.StringType()), T.StructField("key", key), T.StructField("line", T.IntegerType()), T.StructField("position", T.IntegerType()), T.StructField("_b", T.IntegerType())])
-        return Index(spark.read.schema(struct).parquet(path), squeeze, folders)
+    def read(spark: SparkSession, path: str, key: T.DataType, squeeze: bool = True) -> Index:
+        packed = spark.read.schema(packing.schema(key)).parquet(path)
+        return Index(packing.unpack(packed), squeeze, packed)
 
     @staticmethod
     def of(df: DataFrame, schema: CollectionSchema, fields: Iterable[str] | None = None, squeeze: bool = True) -> Index:
         return Index(postings(lines(df, schema, fields), squeeze), squeeze)
 
     def entries(self) -> int:
-        return self.posted.count()
+        return self.posted.count() if self._packed is None else self._packed.agg(F.sum("n")).first()[0] or 0
+
+    def frequencies(self, tokens: list[str] | None = None) -> DataFrame:
+        """(token, df) of all tokens or of some; of lists their lengths alone are read."""
+        posted = self.posted if self._packed is None else self._packed
+        found = posted if tokens is None else posted.filter(F.col("token").isin(tokens))
+        return frequencies(found) if self._packed is None else found.groupBy("token").agg(F.sum("n").alias("df"))
 
     def stops(self, most_entries: int, most_ignored: int = MOST_IGNORED, entries: int | None = None) -> tuple[list[str], int]:
         """The tokens to drop and the postings that are left."""
-        return stop_tokens(self.posted, self.entries() if entries is None else entries, most_entries, most_ignored)
-
-    def _of_tokens(self, tokens: list[str]) -> DataFrame:
-        found = self.posted.filter(F.col("token").isin(tokens))
-        if self.folders:
-            spark = self.posted.sparkSession
-            asked = spark.createDataFrame([(t,) for t in tokens], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.folders)).cast("int")).distinct()
-            found = found.filter(F.col("_b").isin([r[0] for r in asked.collect()]))
-        return found
+        return stop_tokens(self.frequencies(), self.entries() if entries is None else entries, most_entries, most_ignored)
 
     def search(self, text: str, take: int = 0, stop: Iterable[str] = (), entries: int | None = None, most_entries: int = 0, most_ignored: int = MOST_IGNORED) -> DataFrame:
         """(key, score, tokens) of the documents found, best first, ties by key. Tokens of ``stop`` count for nothing."""
@@ -161,20 +151,20 @@ class Index:
         if not wanted:
             return _nothing(self.posted.sparkSession, self.posted.schema["key"].dataType)
         every = list(dict.fromkeys(query))
-        hits = self._of_tokens(every)
-        df = {r[0]: r[1] for r in frequencies(hits.filter(F.col("token").isin(wanted))).collect()}
+        hits = self.posted.filter(F.col("token").isin(every))
+        df = {r[0]: r[1] for r in self.frequencies(wanted).collect()}
         place = [F.min(F.when(F.col("token") == t, F.col("position") + 1)).alias(f"p{k}") for k, t in enumerate(every)]
         per_line = hits.groupBy("key", "line").agg(*place)
         per_line = per_line.select("key", "line", *[F.coalesce(f"p{k}", F.lit(0)).alias(f"p{k}") for k in range(len(every))])
         return _rank(per_line, query, wanted, df, total, take)
 
 
-def stop_tokens(posted: DataFrame, total: int, most_entries: int, most_ignored: int = MOST_IGNORED) -> tuple[list[str], int]:
-    """The rule of stop tokens for (token, ...) postings, ``total`` of them; ties go by token."""
+def stop_tokens(counted: DataFrame, total: int, most_entries: int, most_ignored: int = MOST_IGNORED) -> tuple[list[str], int]:
+    """The rule of stop tokens for (token, df) of ``total`` postings; ties go by token."""
     if not most_entries or total <= most_entries:
         return [], total
     dropped = []
-    for token, n in frequencies(posted).orderBy(F.col("df").desc(), "token").limit(most_ignored).collect():
+    for token, n in counted.orderBy(F.col("df").desc(), "token").limit(most_ignored).collect():
         if total <= most_entries:
             break
         dropped.append(token)
@@ -236,6 +226,6 @@ def scan(lined: DataFrame, text: str, path: str, take: int = 0, stop: Iterable[s
     hits = spark.read.schema(placed.drop("n").schema).parquet(path)
     total = stats["n"] or 0
     if most_entries and total > most_entries:
-        dropped, total = stop_tokens(split.select(F.explode(F.array_distinct("tokens")).alias("token")), total, most_entries, most_ignored)
+        dropped, total = stop_tokens(frequencies(split.select(F.explode(F.array_distinct("tokens")).alias("token"))), total, most_entries, most_ignored)
         wanted = [t for t in wanted if t not in dropped]
     return _rank(hits, query, wanted, df, total, take)

@@ -9,7 +9,7 @@ from lodestrata.engine import Engine
 from lodestrata.errors import BindError, EngineError
 from lodestrata.functions import text as X
 from lodestrata.operators import eviction, metadata, pivot
-from lodestrata.operators import fulltext
+from lodestrata.operators import fulltext, packing
 from lodestrata.operators.fulltext import Index, bonus, lines, scan
 from lodestrata.plans.builder import field
 from lodestrata.schema import define, of_frame
@@ -143,6 +143,38 @@ def test_search_against_the_recipe(spark, seed, tmp_path):
         assert bool(by_rule) == bool(kept)
 
 
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_packed_postings_are_the_same(spark, squeeze):
+    r = random.Random(5)
+    some = [*"aAbBßẞΣσςΑάЖ İıIiéÉñǅʰª٣37 \t\n\u0085\u3000.,;'·-_\u0301\u0345\u20d0𐐀𐐨😀\x00", *"Σ" * 6, *" " * 6]
+    texts = ["".join(r.choices(some, k=r.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(map(chr, r.choices([*range(0xD800), *range(0xE000, 0x40000), 0x10FFFF], k=50))) for _ in range(300)] + ["", " ", "the " * 3000]
+    lined = spark.createDataFrame([(f"k{k // 2}", k % 2, t) for k, t in enumerate(texts)], "key string, line int, text string").repartition(3)
+    expected = sorted(map(tuple, fulltext.postings(lined, squeeze).collect()))
+    for sizes in ((packing.PIECE, packing.RUN, packing.LIST, packing.BATCH), (2000, 3000, 5, 500)):
+        packed = packing.pack(lined, squeeze, sizes)
+        assert sorted(map(tuple, packing.unpack(packed).collect())) == expected
+        assert packed.agg({"n": "sum"}).first()[0] == len(expected)
+    assert packed.filter("n > 5 or n <> size(key)").count() == 0
+
+
+def test_a_stored_index_is_of_lists(spark, tmp_path):
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, " ".join(r.choices(["nice", "view", "metro", "close", "Zug"], k=30))) for k in range(600)], "id int, text string")
+    schema = of_frame("d", df.schema, "id", ("text",))
+    engine = Engine(spark, str(tmp_path))
+    stored = engine.declare(schema)
+    stored.put_many(df)
+    index, plain = stored.index(), Index.of(df, schema)
+    assert index.entries() == plain.entries() and sorted(index.posted.collect()) == sorted(plain.posted.collect())
+    for query in ("nice view", "zug", "nothing"):
+        assert [(x["key"], x["tokens"]) for x in index.search(query).collect()] == [(x["key"], x["tokens"]) for x in plain.search(query).collect()]
+    assert index.stops(1000, 2) == plain.stops(1000, 2)
+    # A posting is no row: it is neither shuffled nor sorted as one.
+    assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "text")).count() * 10 < plain.entries()
+    assert "Exchange" not in packing.pack(lines(df, schema))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_inside_documents(spark):
     schema = define("homes").primary_key("id").value("town").document("comments", "array<struct<user:string,text:string,date:string>>").full_text("town", "comments").build()
     df = spark.createDataFrame([(1, "Paris", [("ann", "nice view", "2020-01-02")]), (2, None, None), (3, "Rome", [])], "id int, town string, comments array<struct<user:string,text:string,date:string>>")
